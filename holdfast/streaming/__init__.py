@@ -1,0 +1 @@
+"""Empty on purpose: every workload here is a batch job, none is a stream."""
