@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from holdfast.operators.quality import require_label
 from holdfast.session import checkpoint_root
+from holdfast.sources.files import read_if_present
 
 NUMERIC_FEATURES = (
     "account_length", "area_code", "number_vmail_messages",
@@ -134,10 +135,7 @@ class ModelStore:
         self._versions_path = f"{self.root}/versions"
 
     def versions(self) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._versions_path)
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.createDataFrame([], VERSION_SCHEMA)
-        return self.spark.read.schema(VERSION_SCHEMA).parquet(self._versions_path)
+        return read_if_present(self.spark, self._versions_path, VERSION_SCHEMA)
 
     def register(self, model: PipelineModel, name: str = REGISTERED_NAME) -> ModelVersion:
         """Save the model, then add its version: a version listed can always be loaded."""

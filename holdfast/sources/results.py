@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from holdfast import schemas
 from holdfast.functions import labels as L
 from holdfast.sources.buckets import default_buckets, read_bucketed, write_bucketed
+from holdfast.sources.files import read_if_present
 
 TABLES = {
     "predictions": schemas.PREDICTIONS,
@@ -65,11 +66,7 @@ class ResultStore:
 
     def log(self) -> DataFrame:
         """All rows of the job log."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._log_path)
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(path):
-            return self.spark.createDataFrame([], LOG_SCHEMA)
-        return self.spark.read.schema(LOG_SCHEMA).parquet(self._log_path)
+        return read_if_present(self.spark, self._log_path, LOG_SCHEMA)
 
     def jobs(self) -> DataFrame:
         """The current state of each job."""
