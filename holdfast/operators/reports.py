@@ -67,23 +67,28 @@ def _counted(rows: DataFrame, *labels: str) -> DataFrame:
     return rows.groupBy(*labels).agg(_customers().alias("n"))
 
 
-def most_frequent(rows: DataFrame, group: list[str], label: str, tie: Column | None = None) -> DataFrame:
-    """The label most customers of each group have; ties go to ``tie``, then the lowest label."""
-    found = _counted(rows.where(F.col(label).isNotNull()), *group, label)
-    order = [(-F.col("n")).alias("n")]
-    if tie is not None:
-        order.append(tie.alias("tie"))
-    order.append(F.col(label))
-    return found.groupBy(*group).agg(F.min_by(label, F.struct(*order)).alias(label))
+def with_label_counts(rows: DataFrame, group: list[str], labels: list[str]) -> DataFrame:
+    """Beside each cell, how many customers of its group have its label.
 
+    One exchange by the group serves all labels and the aggregate that follows,
+    so the result tables are read once however many labels a report needs.
+    """
+    found = rows.repartition(*group)
+    for label in labels:
+        same = Window.partitionBy(*group, label)
+        found = found.withColumn(f"{label}__n", F.sum("customers").over(same))
+    return found
+
+
+def most_frequent(label: str, wanted: Column | None = None, tie: Column | None = None) -> Column:
+    """Aggregate over ``with_label_counts``: the label most customers have.
 
-def join_labels(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join on labels that may be NULL."""
-    renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
-    match = F.lit(True)
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return left.join(renamed, match, "left").drop(*[f"__{k}" for k in keys])
+    Ties go to ``tie``, then to the lowest label; NULL labels and those not
+    ``wanted`` are left out.
+    """
+    wanted = F.col(label).isNotNull() if wanted is None else wanted
+    order = [(-F.col(f"{label}__n")).alias("n"), *([tie.alias("tie")] if tie is not None else []), F.col(label)]
+    return F.min_by(label, F.when(wanted, F.struct(*order))).alias(label)
 
 
 # Key figures and distributions
@@ -109,6 +114,11 @@ def key_figures(rows: DataFrame, blanks: bool = False) -> DataFrame:
     )
 
 
+def with_total(counts: DataFrame, column: str, name: str = "total") -> DataFrame:
+    """The sum of a column beside each row, for reports of one row per label."""
+    return counts.withColumn(name, F.sum(column).over(Window.partitionBy()))
+
+
 def risk_distribution(rows: DataFrame) -> DataFrame:
     found = rows.groupBy("risk_group").agg(_customers().alias("customers_count"))
     return found.orderBy(F.desc("customers_count"), "risk_group")
@@ -163,35 +173,28 @@ def top_risk_factors(rows: DataFrame, count: int = 5) -> DataFrame:
     found = high.groupBy(F.col("main_risk_factor").alias("factor")).agg(
         _customers().alias("customers_count")
     )
-    total = found.agg(F.sum("customers_count")).scalar()
     share = _share(F.col("customers_count"), F.col("total"))
-    return (
-        found.orderBy(F.desc("customers_count"), "factor")
-        .limit(count)
-        .withColumn("total", total)
-        .select(
-            "factor",
-            "customers_count",
-            share.alias("high_risk_share"),
-            rules.impact(share).alias("impact"),
-        )
+    top = with_total(found, "customers_count").orderBy(F.desc("customers_count"), "factor").limit(count)
+    return top.select(
+        "factor", "customers_count", share.alias("high_risk_share"), rules.impact(share).alias("impact")
     )
 
 
 def priority_segments(rows: DataFrame, count: int = 3) -> DataFrame:
     """The segments with the highest mean probability."""
-    key = ["segment_name"]
-    stats = rows.groupBy(*key).agg(
-        _customers().alias("clients_count"),
-        _mean_probability().alias("average_churn_probability"),
-        _high_risk().alias("high"),
+    labels = ["main_risk_factor", "recommendation_type"]
+    stats = (
+        with_label_counts(rows, ["segment_name"], labels)
+        .groupBy("segment_name")
+        .agg(
+            _customers().alias("clients_count"),
+            _mean_probability().alias("average_churn_probability"),
+            _high_risk().alias("high"),
+            *[most_frequent(label) for label in labels],
+        )
     )
     top = stats.orderBy(F.desc_nulls_first("average_churn_probability"), "segment_name").limit(count)
-    for label in ("main_risk_factor", "recommendation_type"):
-        top = join_labels(top, most_frequent(rows, key, label), key)
-    return _null_mean_as_zero(
-        top.orderBy(F.desc_nulls_first("average_churn_probability"), "segment_name")
-    ).select(
+    return _null_mean_as_zero(top).select(
         F.col("segment_name").alias("segment"),
         "clients_count",
         "average_churn_probability",
@@ -228,12 +231,13 @@ def factor_ranks(rows: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
-def segment_stats(rows: DataFrame, key: list[str]) -> DataFrame:
+def segment_stats(rows: DataFrame, key: list[str], *more: Column) -> DataFrame:
     return rows.groupBy(*key).agg(
         _customers().alias("clients_count"),
         _mean_probability().alias("average_churn_probability"),
         _high_risk().alias("high_risk_customers"),
         _mean_charge().alias("average_estimated_total_charge"),
+        *more,
     )
 
 
@@ -251,10 +255,23 @@ def with_leaders(stats: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame
 def segment_summary(rows: DataFrame, key: tuple[str, ...] = ("segment_id", "segment_name")) -> DataFrame:
     """Figures, main recommendation and main factor of each segment.
 
-    The segment page groups by id and name, the export by name only.
+    The segment page groups by id and name, the export by name only. The result
+    is that of ``with_leaders``, found in one pass over the cells.
     """
     key = list(key)
-    merged = with_leaders(segment_stats(rows, key), rows, key)
+    named = F.lit(True)
+    for part in key:
+        named = named & F.col(part).isNotNull()
+    merged = segment_stats(
+        with_label_counts(rows, key, ["recommendation_type", "main_risk_factor"]),
+        key,
+        most_frequent("recommendation_type", named & (F.col("recommendation_type") != L.NO_ACTION)),
+        most_frequent(
+            "main_risk_factor",
+            named & (F.col("main_risk_factor") != L.STABLE_FACTOR),
+            rules.factor_rank(F.col("main_risk_factor")),
+        ),
+    )
     factor = rules.segment_factor(
         F.col("segment_name"), F.col("recommendation_type"), F.col("main_risk_factor")
     )
@@ -285,7 +302,11 @@ def segment_profiles(summary: DataFrame) -> DataFrame:
     share = F.col("high_risk_share")
     overall = F.col("portfolio_average_risk")
     level = screen.attention_level(mean, share, F.col("high_risk_customers"))
-    return summary.withColumn("portfolio_average_risk", portfolio_mean(summary).scalar()).select(
+    everything = Window.partitionBy()  # one row per segment
+    weighted = F.sum(mean * F.col("clients_count")).over(everything)
+    return summary.withColumn(
+        "portfolio_average_risk", weighted / F.sum("clients_count").over(everything)
+    ).select(
         "segment_name",
         "portfolio_average_risk",
         level["label"].alias("attention_label"),
@@ -303,18 +324,21 @@ def segment_profiles(summary: DataFrame) -> DataFrame:
 def recommendation_plan(rows: DataFrame) -> DataFrame:
     """Counts, revenue at risk and most frequent labels of each active recommendation."""
     key = ["recommendation_type"]
+    labels = ["recommendation_reason", "priority", "main_risk_factor"]
     active = rows.where(F.col("recommendation_type") != L.NO_ACTION)
-    plan = active.groupBy(*key).agg(
-        _customers().alias("customers_count"),
-        _high_risk().alias("high_risk_customers"),
-        F.sum(F.when(F.col("priority") == "High", F.col("customers")).otherwise(0)).alias(
-            "high_priority_customers"
-        ),
-        _mean_probability().alias("average_churn_probability"),
-        F.sum("revenue_sum").alias("estimated_revenue_at_risk"),
+    high_priority = F.when(F.col("priority") == "High", F.col("customers")).otherwise(0)
+    plan = (
+        with_label_counts(active, key, labels)
+        .groupBy(*key)
+        .agg(
+            _customers().alias("customers_count"),
+            _high_risk().alias("high_risk_customers"),
+            F.sum(high_priority).alias("high_priority_customers"),
+            _mean_probability().alias("average_churn_probability"),
+            F.sum("revenue_sum").alias("estimated_revenue_at_risk"),
+            *[most_frequent(label) for label in labels],
+        )
     )
-    for label in ("recommendation_reason", "priority", "main_risk_factor"):
-        plan = plan.join(most_frequent(active, key, label), key, "left")
     ordered = plan.orderBy(F.desc_nulls_first("estimated_revenue_at_risk"), *key)
     return _null_mean_as_zero(ordered).select(
         *key,
@@ -324,9 +348,7 @@ def recommendation_plan(rows: DataFrame) -> DataFrame:
         "average_churn_probability",
         _share(F.col("high_risk_customers"), F.col("customers_count")).alias("high_risk_share"),
         F.coalesce("estimated_revenue_at_risk", F.lit(0.0)).alias("estimated_revenue_at_risk"),
-        "recommendation_reason",
-        "priority",
-        "main_risk_factor",
+        *labels,
     )
 
 

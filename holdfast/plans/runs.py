@@ -26,15 +26,21 @@ def _features(rows: DataFrame) -> DataFrame:
 
 
 def score_and_save(rows: DataFrame, model, results: ResultStore, job_id: int) -> None:
-    """Score customers and publish predictions, segments and recommendations."""
+    """Score customers and publish predictions, segments and recommendations.
+
+    The model runs once: segments do not depend on it, and recommendations are
+    derived from the predictions as written.
+    """
     require_rows(scoring=rows)
-    scored = scoring.enrich_predictions(score_customers(_features(rows), model))
-    results.publish(
-        job_id,
-        scored,
-        scoring.customer_segments(scored),
-        scoring.customer_recommendations(scored),
+    features = _features(rows)
+    scored = scoring.enrich_predictions(score_customers(features, model))
+    predictions = results.write_predictions(job_id, scored)
+    folder = f"job_{job_id}"
+    results.write("customer_segments", folder, scoring.customer_segments(features))
+    results.write(
+        "customer_recommendations", folder, scoring.customer_recommendations(predictions)
     )
+    results.commit(job_id, folder)
 
 
 def _run(rows: DataFrame, model, results: ResultStore, job: dict) -> int:

@@ -257,7 +257,8 @@ def a13(t: Tables):
 )
 def a14(t: Tables):
     rows = reports.cells(segment_rows(t), "segment_name", "main_risk_factor")
-    return reports.most_frequent(rows, ["segment_name"], "main_risk_factor")
+    counted = reports.with_label_counts(rows, ["segment_name"], ["main_risk_factor"])
+    return counted.groupBy("segment_name").agg(reports.most_frequent("main_risk_factor"))
 
 
 @query(
@@ -406,8 +407,7 @@ def w03(t: Tables):
 )
 def w04(t: Tables):
     found = t.predictions.groupBy("main_risk_factor").agg(F.count("*").alias("customers_count"))
-    total = found.agg(F.sum("customers_count")).scalar()
-    return found.withColumn("total_customers", total).withColumn(
+    return reports.with_total(found, "customers_count", "total_customers").withColumn(
         "share", six(F.col("customers_count") / F.col("total_customers"))
     )
 

@@ -113,7 +113,7 @@ def s08(t: Tables):
 
 def job_log(t: Tables):
     """A log in which every job was started and all but the running ones have ended."""
-    ended = t.jobs.withColumns({"revision": F.lit(2).cast("bigint"), "buckets": F.lit(8)})
+    ended = t.jobs.withColumns({"revision": F.lit(2).cast("bigint"), "buckets": F.lit(8), "folder": F.lit("")})
     started = ended.withColumns({"revision": F.lit(1).cast("bigint"), "status": F.lit("running")})
     return started.unionByName(ended.where(F.col("status") != "running")).select(*LOG_SCHEMA.names)
 

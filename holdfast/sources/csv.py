@@ -36,11 +36,12 @@ def write_report_csv(df: DataFrame, path: str, keep_empty: bool, single_file: bo
     several files, each with its header and in row order; ``single_file`` is for
     results known to be small.
     """
-    if df.isEmpty():
-        if not keep_empty:
+    if not keep_empty:
+        df = df.cache()  # summaries: a few rows, looked at before they are written
+        if df.isEmpty():
+            df.unpersist()
             return
-        df = df.sparkSession.createDataFrame([], df.schema).repartition(1)
-    elif single_file:
+    if single_file:
         df = df.coalesce(1)
     first, *rest = df.columns
     (

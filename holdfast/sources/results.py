@@ -1,9 +1,9 @@
 """Result tables and the scoring job log.
 
-A run writes its three tables to folders of its own and appends a success row to
-the job log last. Readers take the folders of the latest success, so they see
-either the old results or all of the new ones, and a run that fails half-way
-changes nothing for them. One run writes at a time.
+A run writes its three tables to folders of its own and appends a success row,
+which names the folders, to the job log last. Readers take the folders of the
+latest success, so they see either the old results or all of the new ones, and a
+run that fails half-way changes nothing for them. One run writes at a time.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ LOG_SCHEMA = T.StructType(
         *schemas.SCORING_JOBS.fields,
         T.StructField("revision", T.LongType()),
         T.StructField("buckets", T.IntegerType()),
+        T.StructField("folder", T.StringType()),
     ]
 )
 
@@ -103,13 +104,14 @@ class ResultStore:
         )
         return last_id + 1
 
-    def update_status(self, job_id: int, status: str) -> None:
+    def update_status(self, job_id: int, status: str, folder: str | None = None) -> None:
         """Append the job's row with a new status; an unknown id changes nothing."""
         row = self._job(job_id)
         if row is None:
             return
         _, last_revision = self._last()
-        self._append({**row, "status": status, "revision": last_revision + 1, "buckets": self.buckets})
+        changed = {"status": status, "revision": last_revision + 1, "buckets": self.buckets}
+        self._append({**row, **changed, "folder": folder or row["folder"]})
 
     def _job(self, job_id: int) -> dict | None:
         row = current_jobs(self.log().where(F.col("id") == job_id)).first()
@@ -117,37 +119,56 @@ class ResultStore:
 
     # Result tables
 
-    def _path(self, table: str, job_id: int) -> str:
-        return f"{self.root}/{table}/job_{job_id}"
+    def write(self, table: str, folder: str, rows: DataFrame) -> DataFrame:
+        """Write one result table to a run's folder and return it as written.
+
+        Readers do not see it before ``commit``. Rows already bucketed alike are
+        not shuffled again.
+        """
+        path = f"{self.root}/{table}/{folder}"
+        write_bucketed(rows.select(*TABLES[table].names), path, self.buckets)
+        return read_bucketed(self.spark, path, TABLES[table], self.buckets)
+
+    def commit(self, job_id: int, folder: str) -> None:
+        """Make a run's folder the one readers see."""
+        self.update_status(job_id, "success", folder)
+
+    def write_predictions(self, job_id: int, scored: DataFrame) -> DataFrame:
+        job = self._job(job_id)
+        if job is None:
+            raise ValueError(f"Unknown scoring job: {job_id}")
+        rows = prediction_rows(scored, job_id, job["scoring_date"])
+        return self.write("predictions", f"job_{job_id}", rows)
 
     def publish(
         self, job_id: int, scored: DataFrame, segments: DataFrame, recommendations: DataFrame
     ) -> None:
         """Replace all three result tables and mark the job successful."""
-        job = self._job(job_id)
-        if job is None:
-            raise ValueError(f"Unknown scoring job: {job_id}")
-        written = {
-            "predictions": prediction_rows(scored, job_id, job["scoring_date"]),
-            "customer_segments": segment_rows(segments),
-            "customer_recommendations": recommendation_rows(recommendations),
-        }
-        for table, rows in written.items():
-            write_bucketed(rows, self._path(table, job_id), self.buckets)
-        self.update_status(job_id, "success")
+        self.write_predictions(job_id, scored)
+        self.write("customer_segments", f"job_{job_id}", segment_rows(segments))
+        self.write("customer_recommendations", f"job_{job_id}", recommendation_rows(recommendations))
+        self.commit(job_id, f"job_{job_id}")
+
+    def _latest(self):
+        done = current_jobs(self.log()).where(F.col("status") == "success")
+        return done.orderBy(F.desc("revision")).select("id", "buckets", "folder").first()
+
+    def amend(self, tables: dict[str, DataFrame]) -> None:
+        """Replace all result tables of the latest success, as a reconciliation does."""
+        latest = self._latest()
+        if latest is None:
+            raise ValueError("There are no results to amend.")
+        folder = f"job_{latest['id']}_amended_{self._last()[1] + 1}"
+        for table in TABLES:
+            self.write(table, folder, tables[table])
+        self.commit(latest["id"], folder)
 
     def published(self) -> dict[str, DataFrame]:
         """The result tables of the latest success; empty tables before the first one."""
-        row = (
-            current_jobs(self.log())
-            .where(F.col("status") == "success")
-            .orderBy(F.desc("revision"))
-            .select("id", "buckets")
-            .first()
-        )
+        row = self._latest()
         if row is None:
             return {name: self.spark.createDataFrame([], schema) for name, schema in TABLES.items()}
         return {
-            name: read_bucketed(self.spark, self._path(name, row["id"]), schema, row["buckets"])
+            name: read_bucketed(self.spark, f"{self.root}/{name}/{row['folder']}", schema, row["buckets"])
             for name, schema in TABLES.items()
         }
