@@ -33,16 +33,18 @@ def top_rows(df: DataFrame, count: int, skip: int = 0) -> DataFrame:
     return (ordered.offset(skip) if skip else ordered).limit(count)
 
 
-def look_up(page: DataFrame, table: DataFrame, rows: int) -> DataFrame:
-    """Left join of a page of at most ``rows`` rows with a large table.
+def look_up(page: DataFrame, rows: int, *tables: DataFrame) -> DataFrame:
+    """Left join of a page of at most ``rows`` rows with large tables.
 
-    The table is first reduced to the page's keys by a broadcast semi join, so it
-    is scanned but not shuffled.
+    The tables are first reduced to the page's keys by a broadcast semi join, so
+    they are scanned but not shuffled.
     """
-    if rows <= BROADCAST_KEYS:
-        keys = page.select("customer_id")
-        table = table.join(F.broadcast(keys), "customer_id", "left_semi")
-    return page.join(table, "customer_id", "left")
+    keys = page.select("customer_id")
+    for table in tables:
+        if rows <= BROADCAST_KEYS:
+            table = table.join(F.broadcast(keys), "customer_id", "left_semi")
+        page = page.join(table, "customer_id", "left")
+    return page
 
 
 def _known_numbers(df: DataFrame) -> DataFrame:
@@ -83,9 +85,7 @@ def customer_list(
             late.append(table)
     matches = chosen.apply(matches)
     total = matches.agg(F.count("*")).scalar()
-    page = top_rows(matches, limit, offset)
-    for table in late:
-        page = look_up(page, table, limit + offset)
+    page = look_up(top_rows(matches, limit, offset), limit + offset, *late)
     score = _score()
     ordered = page.orderBy(F.desc_nulls_first("churn_probability"), "customer_id")
     return (
@@ -150,7 +150,7 @@ def customer_detail(
 
 def _drill_down(first: DataFrame, other: DataFrame, columns: list[str], limit: int, offset: int) -> DataFrame:
     check_page(limit, offset)
-    page = look_up(top_rows(first, limit, offset), other, limit + offset)
+    page = look_up(top_rows(first, limit, offset), limit + offset, other)
     return (
         page.withColumns(
             {

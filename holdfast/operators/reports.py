@@ -51,11 +51,11 @@ def _high_risk() -> Column:
 
 
 def _mean_probability() -> Column:
-    return F.sum("probability_sum") / F.sum("scored")
+    return F.try_divide(F.sum("probability_sum"), F.sum("scored"))
 
 
 def _mean_charge() -> Column:
-    return F.sum("charge_sum") / F.sum("charged")
+    return F.try_divide(F.sum("charge_sum"), F.sum("charged"))
 
 
 def _share(part: Column, whole: Column) -> Column:

@@ -34,7 +34,7 @@ def write_report_csv(df: DataFrame, path: str, keep_empty: bool, single_file: bo
     ``keep_empty`` decides what an empty result gives: a file with the header
     (customer exports) or nothing at all (summaries). Large exports stay in
     several files, each with its header and in row order; ``single_file`` is for
-    results known to be small.
+    results known to be small. A line feed inside a value is written as CRLF too.
     """
     if not keep_empty:
         df = df.cache()  # summaries: a few rows, looked at before they are written
