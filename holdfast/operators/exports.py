@@ -106,7 +106,7 @@ def recommendations_export(rows: DataFrame) -> DataFrame:
 def dashboard_export(shared: DataFrame) -> DataFrame:
     """Key figures, risk distribution and active recommendations in three columns.
 
-    ``shared`` are the dashboard cells.
+    ``shared`` are the dashboard cells; cache them first, three sections read them.
     """
     figures = reports.key_figures(shared, blanks=True).select(
         F.inline(

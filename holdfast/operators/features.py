@@ -40,8 +40,8 @@ def add_estimated_total_charge(df: DataFrame) -> DataFrame:
     return filled.withColumn("estimated_total_charge", rules.total_charge(*[F.col(c) for c in CHARGES]))
 
 
-def add_customer_ids(df: DataFrame, order_by: list[str]) -> DataFrame:
-    """Number the rows C00001, C00002, ... in the given order if they have no customer_id."""
+def add_customer_ids(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
+    """Number the rows C00001, C00002, ... in the given order, or as they are stored, if they have no ids."""
     if "customer_id" in df.columns:
         return df
     ranked = numbered(df, order_by, "__number")
@@ -62,5 +62,4 @@ def backfill_customer_ids(df: DataFrame, truncate: bool = False) -> DataFrame:
 
 def prepare_features(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """Customer ids, plan text and the estimated total charge."""
-    with_ids = add_customer_ids(df, order_by or list(df.columns[:1]))
-    return add_estimated_total_charge(normalize_plans(with_ids))
+    return add_estimated_total_charge(normalize_plans(add_customer_ids(df, order_by)))

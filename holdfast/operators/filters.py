@@ -21,6 +21,10 @@ class CustomerFilter:
     min_probability: float | None = None
     main_risk_factor: str | None = None
 
+    def __post_init__(self):
+        if self.min_probability is not None and not 0 <= self.min_probability <= 1:
+            raise ValueError("min_probability must be between 0 and 1")
+
     def equalities(self) -> dict[str, str]:
         """Column and wanted value of each equality condition that is on."""
         wanted = {

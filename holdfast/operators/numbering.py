@@ -79,14 +79,16 @@ def ordered_split(df: DataFrame, key: str = "id", column: str = "dataset_split")
     return df.withColumn(column, F.coalesce(existing, chain))
 
 
-def numbered(df: DataFrame, order_by: list[str], column: str, start: int = 1) -> DataFrame:
-    """Number the rows consecutively in the given order.
-
-    The sorted rows are written to the checkpoint folder, which fixes their
-    partitions; a row's number is the count of rows in earlier partitions plus
-    its position in its own. The join side has one row per partition.
+def numbered(
+    df: DataFrame, order_by: list[str] | None, column: str, start: int = 1
+) -> DataFrame:
+    """Number the rows consecutively in the given order, or as they are stored.
+
+    The rows are written to the checkpoint folder, which fixes their partitions;
+    a row's number is the count of rows in earlier partitions plus its position
+    in its own. The join side has one row per partition.
     """
-    fixed = saved(df.orderBy(*order_by))
+    fixed = saved(df.orderBy(*order_by) if order_by else df)
     position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = fixed.withColumns({"__part": F.spark_partition_id(), "__position": position})
     sizes = placed.groupBy("__part").agg(F.count("*").alias("__size"))
@@ -101,8 +103,10 @@ def numbered(df: DataFrame, order_by: list[str], column: str, start: int = 1) ->
     )
 
 
-def backfill_ids(df: DataFrame, order_by: list[str], start: int | None = None) -> DataFrame:
-    """Give rows without an id consecutive ids in the given order.
+def backfill_ids(
+    df: DataFrame, order_by: list[str] | None = None, start: int | None = None
+) -> DataFrame:
+    """Give rows without an id consecutive ids in the given order, or as they are stored.
 
     Numbering continues after the largest id, so new ids never collide;
     ``start=1`` restarts it, as a first backfill of an empty column does.

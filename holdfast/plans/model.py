@@ -146,15 +146,13 @@ class ModelStore:
         row.coalesce(1).write.mode("append").parquet(self._versions_path)
         return entry
 
-    def latest(self, name: str = REGISTERED_NAME) -> ModelVersion:
-        row = (
-            self.versions().where(F.col("name") == name).orderBy(F.desc("version")).first()
-        )
-        if row is None:
-            raise ValueError(f"No version of model {name}")
-        return ModelVersion(row["name"], row["version"], row["path"])
-
-    def load(self, entry: ModelVersion) -> PipelineModel:
+    def latest(self, name: str = REGISTERED_NAME) -> ModelVersion | None:
+        row = self.versions().where(F.col("name") == name).orderBy(F.desc("version")).first()
+        return ModelVersion(row["name"], row["version"], row["path"]) if row else None
+
+    def load(self, entry: ModelVersion | None) -> PipelineModel:
+        if entry is None:
+            raise ValueError("No model version is registered.")
         return PipelineModel.load(entry.path)
 
 

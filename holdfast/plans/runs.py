@@ -10,6 +10,7 @@ from holdfast.operators.quality import require_rows
 from holdfast.plans.model import (
     ALGORITHM,
     MODEL_NAME,
+    REGISTERED_NAME,
     ModelStore,
     ModelVersion,
     score_customers,
@@ -43,10 +44,13 @@ def score_and_save(rows: DataFrame, model, results: ResultStore, job_id: int) ->
     results.commit(job_id, folder)
 
 
-def _run(rows: DataFrame, model, results: ResultStore, job: dict) -> int:
+def _run(
+    rows: DataFrame, models: ModelStore, version: ModelVersion | None, results: ResultStore, job: dict
+) -> int:
+    """Score within a job; whatever goes wrong marks the job as failed."""
     job_id = results.create_job(job)
     try:
-        score_and_save(rows, model, results, job_id)
+        score_and_save(rows, models.load(version), results, job_id)
     except Exception:
         results.update_status(job_id, "failed")
         raise
@@ -54,18 +58,22 @@ def _run(rows: DataFrame, model, results: ResultStore, job: dict) -> int:
 
 
 def run_scoring(
-    customers: DataFrame, models: ModelStore, results: ResultStore, version: ModelVersion | None = None
+    customers: DataFrame,
+    models: ModelStore,
+    results: ResultStore,
+    version: ModelVersion | None = None,
+    name: str = REGISTERED_NAME,
 ) -> int:
     """Score the scoring batch with a stored model, the latest by default."""
     rows = customers_in_splits(customers, [SCORING], ordered=False)
     require_rows(scoring=rows)
-    entry = version or models.latest()
+    version = version or models.latest(name)
     job = {
         "model_name": MODEL_NAME,
-        "model_version": f"{entry.name}/{entry.version}",
+        "model_version": f"{version.name}/{version.version}" if version else f"{name}/latest",
         "algorithm": ALGORITHM,
     }
-    return _run(rows, models.load(entry), results, job)
+    return _run(rows, models, version, results, job)
 
 
 def run_weekly(
@@ -85,4 +93,4 @@ def run_weekly(
         rounds=rounds,
         seed=seed,
     )
-    return _run(rows["scoring"], models.load(learnt["model"]), results, learnt)
+    return _run(rows["scoring"], models, learnt["model"], results, learnt)

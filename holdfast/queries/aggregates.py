@@ -497,7 +497,7 @@ UNION_CELLS = f"""SELECT 'KPI' AS "Раздел", 'Всего клиентов'
 
 @query("u01_dashboard_export", UNION_CELLS)
 def u01(t: Tables):
-    return exports.dashboard_export(reports.dashboard_cells(*t.result_tables))
+    return exports.dashboard_export(reports.dashboard_cells(*t.result_tables).cache())
 
 
 @query(

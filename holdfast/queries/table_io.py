@@ -142,6 +142,6 @@ def s11(t: Tables):
 @query("s12_summary_csv", UNION_CELLS)
 def s12(t: Tables):
     path = t.scratch("summary")
-    rows = exports.dashboard_export(reports.dashboard_cells(*t.result_tables))
+    rows = exports.dashboard_export(reports.dashboard_cells(*t.result_tables).cache())
     csv.write_report_csv(rows, path, keep_empty=False, single_file=True)
     return read_back(t, path, rows.columns)

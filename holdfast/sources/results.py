@@ -78,13 +78,20 @@ class ResultStore:
         one = self.spark.createDataFrame([tuple(values)], LOG_SCHEMA)
         one.coalesce(1).write.mode("append").parquet(self._log_path)
 
-    def _last(self) -> tuple[int, int]:
-        row = self.log().agg(F.max("id"), F.max("revision")).first()
-        return row[0] or 0, row[1] or 0
+    def _state(self, job_id: int | None = None) -> tuple[int, int, dict | None]:
+        """The largest id and revision of the log, and the current row of one job."""
+        newest = F.when(F.col("id") == F.lit(job_id).cast("int"), F.col("revision"))
+        found = self.log().agg(
+            F.coalesce(F.max("id"), F.lit(0)).alias("last_id"),
+            F.coalesce(F.max("revision"), F.lit(0)).alias("last_revision"),
+            F.max_by(F.struct(*LOG_SCHEMA.names), newest).alias("job"),
+        )
+        row = found.first()
+        return row["last_id"], row["last_revision"], row["job"].asDict() if row["job"] else None
 
     def create_job(self, result: dict, status: str = "running") -> int:
         """Log a job and return its id. ``result`` holds the model and its test metrics."""
-        last_id, last_revision = self._last()
+        last_id, last_revision, _ = self._state()
         self._append(
             {
                 "id": last_id + 1,
@@ -106,17 +113,12 @@ class ResultStore:
 
     def update_status(self, job_id: int, status: str, folder: str | None = None) -> None:
         """Append the job's row with a new status; an unknown id changes nothing."""
-        row = self._job(job_id)
+        _, last_revision, row = self._state(job_id)
         if row is None:
             return
-        _, last_revision = self._last()
         changed = {"status": status, "revision": last_revision + 1, "buckets": self.buckets}
         self._append({**row, **changed, "folder": folder or row["folder"]})
 
-    def _job(self, job_id: int) -> dict | None:
-        row = current_jobs(self.log().where(F.col("id") == job_id)).first()
-        return row.asDict() if row else None
-
     # Result tables
 
     def write(self, table: str, folder: str, rows: DataFrame) -> DataFrame:
@@ -134,7 +136,7 @@ class ResultStore:
         self.update_status(job_id, "success", folder)
 
     def write_predictions(self, job_id: int, scored: DataFrame) -> DataFrame:
-        job = self._job(job_id)
+        _, _, job = self._state(job_id)
         if job is None:
             raise ValueError(f"Unknown scoring job: {job_id}")
         rows = prediction_rows(scored, job_id, job["scoring_date"])
@@ -158,7 +160,7 @@ class ResultStore:
         latest = self._latest()
         if latest is None:
             raise ValueError("There are no results to amend.")
-        folder = f"job_{latest['id']}_amended_{self._last()[1] + 1}"
+        folder = f"job_{latest['id']}_amended_{self._state()[1] + 1}"
         for table in TABLES:
             self.write(table, folder, tables[table])
         self.commit(latest["id"], folder)

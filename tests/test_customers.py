@@ -121,6 +121,12 @@ def test_export_needs_a_filter(chosen):
         check_export(chosen, None)
 
 
+@pytest.mark.parametrize("value", [-0.1, 1.1])
+def test_probability_bounds(value):
+    with pytest.raises(ValueError, match="min_probability"):
+        CustomerFilter(min_probability=value)
+
+
 def test_export_refuses_unknown_fields():
     with pytest.raises(ValueError, match="Unknown"):
         check_export(CustomerFilter(search="x"), ["priority", "password"])

@@ -172,12 +172,12 @@ def test_other_sessions_read_the_buckets(spark, store, data):
 def test_failed_run_keeps_old_results(spark, store, data):
     store.publish(store.create_job({}), *data)
 
-    class Broken:
-        def transform(self, df):
+    class NoModels:
+        def load(self, version):
             raise RuntimeError("no model")
 
     rows = spark.createDataFrame([("C9", "x")], "customer_id string, dataset_split string")
     with pytest.raises(RuntimeError):
-        runs._run(rows, Broken(), store, {})
+        runs._run(rows, NoModels(), None, store, {})
     assert {r["id"]: r["status"] for r in store.jobs().collect()} == {1: "success", 2: "failed"}
     assert store.published()["predictions"].count() == 2

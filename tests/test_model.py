@@ -71,8 +71,7 @@ def test_label_is_required(spark, parts):
 
 def test_versions(spark, parts, fitted):
     store = model.ModelStore(spark, scratch_path(spark, "models"))
-    with pytest.raises(ValueError):
-        store.latest()
+    assert store.latest() is None
     store.register(fitted)
     store.register(fitted, "other")
     assert store.register(fitted).version == 2
@@ -106,3 +105,7 @@ def test_empty_splits_are_refused(spark, customers):
     with pytest.raises(ValueError, match="Scoring data is empty"):
         runs.run_scoring(customers.where("dataset_split = 'train'"), models, results)
     assert results.jobs().isEmpty()
+    with pytest.raises(ValueError, match="No model version"):
+        runs.run_scoring(customers, models, results)
+    failed = one(results.jobs())
+    assert (failed["status"], failed["model_version"]) == ("failed", "churn_prediction_model/latest")

@@ -50,6 +50,12 @@ def test_numbers_follow_the_order(spark):
     assert found == {v: n for n, v in enumerate(sorted(values), start=1)}
 
 
+def test_stored_order_numbers_every_row_once(spark):
+    df = spark.range(1000).repartition(7)
+    found = sorted(r["n"] for r in numbering.numbered(df, None, "n", start=0).collect())
+    assert found == list(range(1000))
+
+
 def test_id_backfill(spark):
     df = spark.createDataFrame([(None, "c"), (10, "a"), (None, "b")], "id int, customer_id string")
     after = {r["customer_id"]: r["id"] for r in numbering.backfill_ids(df, ["customer_id"]).collect()}

@@ -131,3 +131,11 @@ def test_ids_of_six_digits(spark):
 def test_existing_customer_ids_stay(spark):
     rows = spark.createDataFrame([("A",)], "customer_id string")
     assert features.add_customer_ids(rows, ["customer_id"]) is rows
+
+
+def test_absent_customer_ids_are_numbered(spark):
+    rows = spark.createDataFrame([(30,), (10,), (20,)], "total_day_charge int")
+    found = features.prepare_features(rows, ["total_day_charge"]).collect()
+    assert {r["total_day_charge"]: r["customer_id"] for r in found} == {10: "C00001", 20: "C00002", 30: "C00003"}
+    anyhow = features.prepare_features(rows).collect()
+    assert sorted(r["customer_id"] for r in anyhow) == ["C00001", "C00002", "C00003"]
