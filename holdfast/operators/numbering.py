@@ -84,13 +84,14 @@ def numbered(
 ) -> DataFrame:
     """Number the rows consecutively in the given order, or as they are stored.
 
-    The rows are written to the checkpoint folder, which fixes their partitions;
-    a row's number is the count of rows in earlier partitions plus its position
-    in its own. The join side has one row per partition.
+    The rows are written with the partition they were in and their position there;
+    a row's number is its position plus the count of rows in earlier partitions.
+    Because both are read back from the files, a task that is run again cannot
+    change a number. The broadcast side has one row per partition.
     """
-    fixed = saved(df.orderBy(*order_by) if order_by else df)
     position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = fixed.withColumns({"__part": F.spark_partition_id(), "__position": position})
+    ordered = df.orderBy(*order_by) if order_by else df
+    placed = saved(ordered.withColumns({"__part": F.spark_partition_id(), "__position": position}))
     sizes = placed.groupBy("__part").agg(F.count("*").alias("__size"))
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(

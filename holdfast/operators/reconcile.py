@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from holdfast.functions import rules
 from holdfast.operators import quality
-from holdfast.session import saved
+from holdfast.sources.buckets import saved_by_customer
 
 
 def _updated(rows: DataFrame, columns: list[str], expected: dict[str, Column]) -> DataFrame:
@@ -111,9 +111,9 @@ def reconcile(
     before = consistency(predictions, segments, recommendations, customers, "before")
     if check_only:
         return Reconciled(before)
-    new_p = saved(reconcile_factors(predictions, customers))
-    new_r = saved(reconcile_recommendations(recommendations, new_p))
-    new_s = saved(reconcile_segments(segments, new_p, customers))
+    new_p = saved_by_customer(reconcile_factors(predictions, customers))
+    new_r = saved_by_customer(reconcile_recommendations(recommendations, new_p))
+    new_s = saved_by_customer(reconcile_segments(segments, new_p, customers))
 
     def changes(df: DataFrame):
         return df.agg(F.count_if("changed")).scalar()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "holdfast", master: str | None = None, **conf: str) -> SparkSession:
@@ -51,7 +51,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/holdfast-{uuid.uuid4().hex}/{name}"
 
 
-def saved(df, spark: SparkSession | None = None):
-    """Write ``df`` to the checkpoint folder and continue from the files."""
-    checkpoint_root(spark or df.sparkSession)
-    return df.checkpoint(eager=True)
+def saved(df: DataFrame) -> DataFrame:
+    """Write ``df`` below the checkpoint folder and continue from the files.
+
+    This cuts the lineage: a lost executor costs a re-read, and every later step
+    sees the very same rows.
+    """
+    path = scratch_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ import re
 
 import pytest
 from holdfast.functions import labels as L
-from holdfast.operators import customers, features, numbering, reports, scoring
+from holdfast.operators import customers, features, numbering, reconcile, reports, scoring
 from holdfast.operators.filters import CustomerFilter
 from holdfast.queries.aggregates import segment_cells
 from holdfast.sources.customers import customers_in_splits
@@ -75,6 +75,20 @@ def test_split_assignment_moves_no_rows(logical):
     assert "Exchange" not in text and "Window" not in text
 
 
+def test_reconciliation_shuffles_no_table(logical, large):
+    fixed = reconcile.reconcile_factors(logical.drifted_predictions, logical.customers)
+    advice = reconcile.reconcile_recommendations(logical.recommendations, logical.predictions)
+    segments = reconcile.reconcile_segments(logical.segments, logical.predictions, logical.customers)
+    for df in (fixed, advice, segments):
+        assert "Exchange" not in plan(df)
+
+
+def test_rows_bucketed_alike_are_written_without_shuffle(logical):
+    """``write_bucketed`` repartitions by customer, which these rows already are."""
+    advice = scoring.customer_recommendations(logical.predictions)
+    assert "Exchange" not in plan(advice.repartition(logical.buckets, "customer_id"))
+
+
 def test_segment_filter_makes_the_join_inner(logical, large):
     chosen = CustomerFilter(segment=L.STABLE_SEGMENT)
     rows = chosen.apply(customers.result_rows(*logical.result_tables))
