@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from holdfast.functions import rules
 from holdfast.operators import quality
-from holdfast.sources.buckets import saved_by_customer
+from holdfast.sources.buckets import buckets_for, saved_by_customer
 
 
 def _updated(rows: DataFrame, columns: list[str], expected: dict[str, Column]) -> DataFrame:
@@ -102,6 +102,7 @@ def reconcile(
     recommendations: DataFrame,
     customers: DataFrame,
     check_only: bool = False,
+    buckets: int | None = None,
 ) -> Reconciled:
     """Count, correct factors, then recommendations, then segments, and count again.
 
@@ -111,9 +112,10 @@ def reconcile(
     before = consistency(predictions, segments, recommendations, customers, "before")
     if check_only:
         return Reconciled(before)
-    new_p = saved_by_customer(reconcile_factors(predictions, customers))
-    new_r = saved_by_customer(reconcile_recommendations(recommendations, new_p))
-    new_s = saved_by_customer(reconcile_segments(segments, new_p, customers))
+    buckets = buckets or buckets_for(predictions.count())
+    new_p = saved_by_customer(reconcile_factors(predictions, customers), buckets)
+    new_r = saved_by_customer(reconcile_recommendations(recommendations, new_p), buckets)
+    new_s = saved_by_customer(reconcile_segments(segments, new_p, customers), buckets)
 
     def changes(df: DataFrame):
         return df.agg(F.count_if("changed")).scalar()

@@ -33,15 +33,15 @@ def score_and_save(rows: DataFrame, model, results: ResultStore, job_id: int) ->
     derived from the predictions as written.
     """
     require_rows(scoring=rows)
-    features = _features(rows)
+    features, buckets = _features(rows), results.bucket_count(rows)
     scored = scoring.enrich_predictions(score_customers(features, model))
-    predictions = results.write_predictions(job_id, scored)
+    predictions = results.write_predictions(job_id, scored, buckets)
     folder = f"job_{job_id}"
-    results.write("customer_segments", folder, scoring.customer_segments(features))
-    results.write(
-        "customer_recommendations", folder, scoring.customer_recommendations(predictions)
-    )
-    results.commit(job_id, folder)
+    segments = scoring.customer_segments(features)
+    results.write("customer_segments", folder, segments, buckets)
+    recommendations = scoring.customer_recommendations(predictions)
+    results.write("customer_recommendations", folder, recommendations, buckets)
+    results.commit(job_id, folder, buckets)
 
 
 def _run(

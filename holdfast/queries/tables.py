@@ -20,7 +20,7 @@ from holdfast.operators import scoring
 from holdfast.operators.features import prepare_features
 from holdfast.operators.numbering import ordered_split
 from holdfast.session import scratch_path
-from holdfast.sources.buckets import default_buckets, read_bucketed, write_bucketed
+from holdfast.sources.buckets import buckets_for, read_bucketed, write_bucketed
 from holdfast.sources.results import ResultStore
 
 _INPUT_SCHEMA = T.StructType(
@@ -146,7 +146,6 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
-        self.buckets = default_buckets(spark)
 
     def star(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
@@ -154,6 +153,10 @@ class Tables:
     def scratch(self, name: str) -> str:
         return scratch_path(self.spark, name)
 
+    @cached_property
+    def buckets(self) -> int:
+        return buckets_for(self.star("customer").count())
+
     @cached_property
     def inputs(self) -> DataFrame:
         """Customers with their split, stand-in probability and scoring date."""

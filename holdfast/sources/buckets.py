@@ -15,15 +15,16 @@ from pyspark.sql.types import StructType
 from holdfast.session import scratch_path
 
 KEY = "customer_id"
+ROWS_PER_BUCKET = 4_000_000
 
 
 def table_name(path: str) -> str:
     return "holdfast_" + hashlib.md5(path.encode()).hexdigest()[:16]
 
 
-def default_buckets(spark: SparkSession) -> int:
-    """As many buckets as the cluster's shuffles have partitions."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def buckets_for(rows: int) -> int:
+    """A bucket per four million rows (a few hundred MB), within 8 and 50,000."""
+    return max(8, min(50_000, -(-rows // ROWS_PER_BUCKET)))
 
 
 def write_bucketed(df: DataFrame, path: str, buckets: int, key: str = KEY) -> None:
@@ -52,12 +53,11 @@ def read_bucketed(
     return spark.table(name)
 
 
-def saved_by_customer(df: DataFrame) -> DataFrame:
+def saved_by_customer(df: DataFrame, buckets: int) -> DataFrame:
     """Write rows below the checkpoint folder, bucketed, and continue from the files.
 
-    Joins with the bucketed result tables stay free of shuffles.
+    Joins with tables of as many buckets stay free of shuffles.
     """
-    spark = df.sparkSession
-    path, buckets = scratch_path(spark, "rows"), default_buckets(spark)
+    path = scratch_path(df.sparkSession, "rows")
     write_bucketed(df, path, buckets)
-    return read_bucketed(spark, path, df.schema, buckets)
+    return read_bucketed(df.sparkSession, path, df.schema, buckets)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from holdfast import schemas
 from holdfast.functions import labels as L
-from holdfast.sources.buckets import default_buckets, read_bucketed, write_bucketed
+from holdfast.sources.buckets import buckets_for, read_bucketed, write_bucketed
 from holdfast.sources.files import read_if_present
 
 TABLES = {
@@ -60,7 +60,7 @@ class ResultStore:
     def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.buckets = buckets or default_buckets(spark)
+        self.buckets = buckets
         self._log_path = f"{self.root}/scoring_jobs"
 
     # Job log
@@ -106,50 +106,52 @@ class ResultStore:
                 "status": status,
                 "scoring_date": datetime.now(timezone.utc).replace(tzinfo=None),
                 "revision": last_revision + 1,
-                "buckets": self.buckets,
             }
         )
         return last_id + 1
 
-    def update_status(self, job_id: int, status: str, folder: str | None = None) -> None:
+    def update_status(self, job_id: int, status: str, **changes) -> None:
         """Append the job's row with a new status; an unknown id changes nothing."""
         _, last_revision, row = self._state(job_id)
-        if row is None:
-            return
-        changed = {"status": status, "revision": last_revision + 1, "buckets": self.buckets}
-        self._append({**row, **changed, "folder": folder or row["folder"]})
+        if row is not None:
+            self._append({**row, **changes, "status": status, "revision": last_revision + 1})
 
     # Result tables
 
-    def write(self, table: str, folder: str, rows: DataFrame) -> DataFrame:
+    def bucket_count(self, rows: DataFrame) -> int:
+        """The store's bucket count, or one that fits the number of rows."""
+        return self.buckets or buckets_for(rows.count())
+
+    def write(self, table: str, folder: str, rows: DataFrame, buckets: int) -> DataFrame:
         """Write one result table to a run's folder and return it as written.
 
         Readers do not see it before ``commit``. Rows already bucketed alike are
         not shuffled again.
         """
         path = f"{self.root}/{table}/{folder}"
-        write_bucketed(rows.select(*TABLES[table].names), path, self.buckets)
-        return read_bucketed(self.spark, path, TABLES[table], self.buckets)
+        write_bucketed(rows.select(*TABLES[table].names), path, buckets)
+        return read_bucketed(self.spark, path, TABLES[table], buckets)
 
-    def commit(self, job_id: int, folder: str) -> None:
+    def commit(self, job_id: int, folder: str, buckets: int) -> None:
         """Make a run's folder the one readers see."""
-        self.update_status(job_id, "success", folder)
+        self.update_status(job_id, "success", folder=folder, buckets=buckets)
 
-    def write_predictions(self, job_id: int, scored: DataFrame) -> DataFrame:
+    def write_predictions(self, job_id: int, scored: DataFrame, buckets: int) -> DataFrame:
         _, _, job = self._state(job_id)
         if job is None:
             raise ValueError(f"Unknown scoring job: {job_id}")
         rows = prediction_rows(scored, job_id, job["scoring_date"])
-        return self.write("predictions", f"job_{job_id}", rows)
+        return self.write("predictions", f"job_{job_id}", rows, buckets)
 
     def publish(
         self, job_id: int, scored: DataFrame, segments: DataFrame, recommendations: DataFrame
     ) -> None:
         """Replace all three result tables and mark the job successful."""
-        self.write_predictions(job_id, scored)
-        self.write("customer_segments", f"job_{job_id}", segment_rows(segments))
-        self.write("customer_recommendations", f"job_{job_id}", recommendation_rows(recommendations))
-        self.commit(job_id, f"job_{job_id}")
+        folder, buckets = f"job_{job_id}", self.bucket_count(scored)
+        self.write_predictions(job_id, scored, buckets)
+        self.write("customer_segments", folder, segment_rows(segments), buckets)
+        self.write("customer_recommendations", folder, recommendation_rows(recommendations), buckets)
+        self.commit(job_id, folder, buckets)
 
     def _latest(self):
         done = current_jobs(self.log()).where(F.col("status") == "success")
@@ -162,8 +164,8 @@ class ResultStore:
             raise ValueError("There are no results to amend.")
         folder = f"job_{latest['id']}_amended_{self._state()[1] + 1}"
         for table in TABLES:
-            self.write(table, folder, tables[table])
-        self.commit(latest["id"], folder)
+            self.write(table, folder, tables[table], latest["buckets"])
+        self.commit(latest["id"], folder, latest["buckets"])
 
     def published(self) -> dict[str, DataFrame]:
         """The result tables of the latest success; empty tables before the first one."""

@@ -10,7 +10,7 @@ from holdfast.operators.filters import CustomerFilter
 from holdfast.plans import runs
 from holdfast.session import scratch_path
 from holdfast.sources import csv
-from holdfast.sources.buckets import table_name
+from holdfast.sources.buckets import buckets_for, table_name
 from holdfast.sources.results import ResultStore
 from tests.helpers import prediction, predictions, recommendations, segments
 
@@ -122,7 +122,7 @@ def test_readers_see_whole_runs_only(store, data):
     store.publish(first, *data)
     second = store.create_job({"model_version": "2"})
     assert (first, second) == (1, 2)
-    store.write_predictions(second, data[0].limit(1))
+    store.write_predictions(second, data[0].limit(1), 4)
     assert store.published()["predictions"].count() == 2
     store.update_status(second, "failed")
     assert {r["id"]: r["status"] for r in store.jobs().collect()} == {1: "success", 2: "failed"}
@@ -135,7 +135,7 @@ def test_readers_see_whole_runs_only(store, data):
 
 def test_predictions_carry_the_jobs_time(store, data):
     job = store.create_job({})
-    written = store.write_predictions(job, data[0].drop("scoring_date", "scoring_job_id"))
+    written = store.write_predictions(job, data[0].drop("scoring_date", "scoring_job_id"), 4)
     when = store.jobs().first()["scoring_date"]
     assert {r["scoring_date"] for r in written.collect()} == {when}
 
@@ -181,3 +181,8 @@ def test_failed_run_keeps_old_results(spark, store, data):
         runs._run(rows, NoModels(), None, store, {})
     assert {r["id"]: r["status"] for r in store.jobs().collect()} == {1: "success", 2: "failed"}
     assert store.published()["predictions"].count() == 2
+
+
+def test_bucket_count_follows_the_rows(spark):
+    assert [buckets_for(n) for n in (0, 10**6, 32_000_001, 10**12)] == [8, 8, 9, 50_000]
+    assert ResultStore(spark, "unused").bucket_count(spark.range(5)) == 8
