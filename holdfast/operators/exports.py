@@ -10,6 +10,7 @@ from holdfast.functions.text import day_text, decimal_text, percent_text, transl
 from holdfast.operators import reports
 from holdfast.operators.customers import result_rows
 from holdfast.operators.filters import CustomerFilter, check_export
+from holdfast.session import saved
 
 _DICTIONARIES = {
     "risk_group": L.RISK_GROUP_TEXT,
@@ -103,11 +104,11 @@ def recommendations_export(rows: DataFrame) -> DataFrame:
     )
 
 
-def dashboard_export(shared: DataFrame) -> DataFrame:
-    """Key figures, risk distribution and active recommendations in three columns.
-
-    ``shared`` are the dashboard cells; cache them first, three sections read them.
-    """
+def dashboard_export(
+    predictions: DataFrame, segments: DataFrame, recommendations: DataFrame
+) -> DataFrame:
+    """Key figures, risk distribution and active recommendations in three columns."""
+    shared = saved(reports.dashboard_cells(predictions, segments, recommendations))
     figures = reports.key_figures(shared, blanks=True).select(
         F.inline(
             F.array(

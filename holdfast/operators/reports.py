@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from holdfast.functions import labels as L
 from holdfast.functions import rules, screen
 from holdfast.functions.text import timestamp_text
+from holdfast.session import saved
 
 MEASURES = {
     "customers": F.sum,
@@ -412,7 +413,7 @@ def dashboard_cells(
 
 
 def dashboard_sections(shared: DataFrame, jobs: DataFrame) -> dict[str, DataFrame]:
-    """The eight dashboard sections over ``dashboard_cells``. Cache the cells first."""
+    """The eight dashboard sections over ``dashboard_cells``, which should be saved before."""
     members = shared.where("in_segment")
     return {
         "kpis": key_figures(shared),
@@ -424,3 +425,10 @@ def dashboard_sections(shared: DataFrame, jobs: DataFrame) -> dict[str, DataFram
         "priority_segments": priority_segments(members),
         "scoring_info": scoring_info(jobs),
     }
+
+
+def dashboard_summary(
+    predictions: DataFrame, segments: DataFrame, recommendations: DataFrame, jobs: DataFrame
+) -> dict[str, DataFrame]:
+    """The eight dashboard sections. Their cells are computed and written once."""
+    return dashboard_sections(saved(dashboard_cells(predictions, segments, recommendations)), jobs)

@@ -497,7 +497,7 @@ UNION_CELLS = f"""SELECT 'KPI' AS "Раздел", 'Всего клиентов'
 
 @query("u01_dashboard_export", UNION_CELLS)
 def u01(t: Tables):
-    return exports.dashboard_export(reports.dashboard_cells(*t.result_tables).cache())
+    return exports.dashboard_export(*t.result_tables)
 
 
 @query(
@@ -517,8 +517,7 @@ def u01(t: Tables):
   UNION ALL SELECT 'scoring_info', last_scoring_date, roc_auc FROM ({SCORING_INFO_SQL}) info""",
 )
 def u02(t: Tables):
-    shared = reports.dashboard_cells(*t.result_tables).cache()
-    parts = reports.dashboard_sections(shared, t.jobs)
+    parts = reports.dashboard_summary(*t.result_tables, t.jobs)
     figures = parts["kpis"]
     shown = {
         "risk_distribution": ("risk_group", "customers_count"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from holdfast import schemas
 from holdfast.functions import labels as L
-from holdfast.operators import exports, reports, scoring
+from holdfast.operators import exports, scoring
 from holdfast.operators.filters import CustomerFilter
 from holdfast.queries.aggregates import UNION_CELLS
 from holdfast.queries.customer_pages import export_sql
@@ -142,6 +142,6 @@ def s11(t: Tables):
 @query("s12_summary_csv", UNION_CELLS)
 def s12(t: Tables):
     path = t.scratch("summary")
-    rows = exports.dashboard_export(reports.dashboard_cells(*t.result_tables).cache())
+    rows = exports.dashboard_export(*t.result_tables)
     csv.write_report_csv(rows, path, keep_empty=False, single_file=True)
     return read_back(t, path, rows.columns)

@@ -80,12 +80,12 @@ def test_export_fields_keep_file_order():
 
 
 def test_dashboard_export_of_nothing(spark):
-    shared = reports.dashboard_cells(predictions(spark, []), segments(spark, []), recommendations(spark, []))
-    assert [tuple(r)[2] for r in exports.dashboard_export(shared).collect()] == ["0", "", "", "", ""]
+    nothing = predictions(spark, []), segments(spark, []), recommendations(spark, [])
+    assert [tuple(r)[2] for r in exports.dashboard_export(*nothing).collect()] == ["0", "", "", "", ""]
 
 
 def test_dashboard_export_order(data):
-    rows = exports.dashboard_export(reports.dashboard_cells(*data)).collect()
+    rows = exports.dashboard_export(*data).collect()
     assert [r["Раздел"] for r in rows] == ["KPI"] * 5 + ["Распределение риска"] * 2 + ["Сводка рекомендаций"]
     assert [r["Показатель"] for r in rows[5:7]] == ["Высокий риск", "Средний риск"]
 

@@ -146,8 +146,7 @@ def test_priority_segments_keep_the_nameless_one(tables, random_rows):
 
 def test_dashboard_sections_equal_single_reports(spark, tables):
     p, s, r = tables
-    shared = reports.dashboard_cells(p, s, r).cache()
-    found = reports.dashboard_sections(shared, spark.createDataFrame([], schemas.SCORING_JOBS))
+    found = reports.dashboard_summary(p, s, r, spark.createDataFrame([], schemas.SCORING_JOBS))
     members = p.join(s, "customer_id")
     single = {
         "risk_distribution": reports.risk_distribution(reports.cells(p, "risk_group")),
@@ -163,7 +162,6 @@ def test_dashboard_sections_equal_single_reports(spark, tables):
         assert found[name].collect() == df.collect(), name
     assert len(found) == 8
     assert one(found["kpis"])["total_customers"] == p.count()
-    shared.unpersist()
 
 
 def test_key_figures_of_nothing(spark):
