@@ -15,9 +15,10 @@ from holdfast.functions.numbers import zero_if_null
 from holdfast.functions.rules import risk_rank
 from holdfast.functions.text import timestamp_text
 from holdfast.operators.filters import CustomerFilter, check_page
+from holdfast.operators.numbering import numbered
 
-# A page's keys are broadcast up to this many rows (under 2 MB); deeper pages use a plain join.
-BROADCAST_KEYS = 20_000
+# Pages that end later than this are found by numbering the rows instead of a top-k.
+DEEP_PAGE = 20_000
 
 
 def result_rows(predictions: DataFrame, segments: DataFrame, recommendations: DataFrame) -> DataFrame:
@@ -28,22 +29,30 @@ def result_rows(predictions: DataFrame, segments: DataFrame, recommendations: Da
 
 
 def top_rows(df: DataFrame, count: int, skip: int = 0) -> DataFrame:
-    """Rows in order of falling probability, NULL first, ids deciding ties."""
-    ordered = df.orderBy(F.desc_nulls_first("churn_probability"), "customer_id")
-    return (ordered.offset(skip) if skip else ordered).limit(count)
+    """Rows in order of falling probability, NULL first, ids deciding ties.
+
+    A top-k holds all rows up to the page's end in one place. For deep pages the
+    ids are sorted and numbered in parallel, and only the page's rows are kept.
+    """
+    order = [F.desc_nulls_first("churn_probability"), F.asc("customer_id")]
+    if skip + count <= DEEP_PAGE:
+        ordered = df.orderBy(*order)
+        return (ordered.offset(skip) if skip else ordered).limit(count)
+    placed = numbered(df.select("customer_id", "churn_probability"), order, "place", start=0)
+    keys = placed.where(F.col("place").between(skip, skip + count - 1)).select("customer_id")
+    return df.join(F.broadcast(keys), "customer_id", "left_semi").orderBy(*order)
 
 
-def look_up(page: DataFrame, rows: int, *tables: DataFrame) -> DataFrame:
-    """Left join of a page of at most ``rows`` rows with large tables.
+def look_up(page: DataFrame, *tables: DataFrame) -> DataFrame:
+    """Left join of a page with large tables.
 
     The tables are first reduced to the page's keys by a broadcast semi join, so
-    they are scanned but not shuffled.
+    they are scanned but not shuffled. A page has at most 500 rows (``check_page``).
     """
     keys = page.select("customer_id")
     for table in tables:
-        if rows <= BROADCAST_KEYS:
-            table = table.join(F.broadcast(keys), "customer_id", "left_semi")
-        page = page.join(table, "customer_id", "left")
+        found = table.join(F.broadcast(keys), "customer_id", "left_semi")
+        page = page.join(found, "customer_id", "left")
     return page
 
 
@@ -85,7 +94,7 @@ def customer_list(
             late.append(table)
     matches = chosen.apply(matches)
     total = matches.agg(F.count("*")).scalar()
-    page = look_up(top_rows(matches, limit, offset), limit + offset, *late)
+    page = look_up(top_rows(matches, limit, offset), *late)
     score = _score()
     ordered = page.orderBy(F.desc_nulls_first("churn_probability"), "customer_id")
     return (
@@ -150,7 +159,7 @@ def customer_detail(
 
 def _drill_down(first: DataFrame, other: DataFrame, columns: list[str], limit: int, offset: int) -> DataFrame:
     check_page(limit, offset)
-    page = look_up(top_rows(first, limit, offset), limit + offset, other)
+    page = look_up(top_rows(first, limit, offset), other)
     return (
         page.withColumns(
             {

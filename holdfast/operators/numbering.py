@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.session import saved
@@ -80,7 +80,7 @@ def ordered_split(df: DataFrame, key: str = "id", column: str = "dataset_split")
 
 
 def numbered(
-    df: DataFrame, order_by: list[str] | None, column: str, start: int = 1
+    df: DataFrame, order_by: list[str | Column] | None, column: str, start: int = 1
 ) -> DataFrame:
     """Number the rows consecutively in the given order, or as they are stored.
 

@@ -41,10 +41,13 @@ def test_page_beyond_the_end_has_no_rows(data):
     assert customers.customer_list(*data, limit=10, offset=62).isEmpty()
 
 
-def test_deep_page_without_broadcast(data, monkeypatch):
-    expected = customers.customer_list(*data, limit=20, offset=30).collect()
-    monkeypatch.setattr(customers, "BROADCAST_KEYS", 10)
-    assert customers.customer_list(*data, limit=20, offset=30).collect() == expected
+@pytest.mark.parametrize("offset", [0, 30, 60, 70])
+def test_deep_pages_equal_shallow_ones(data, monkeypatch, offset):
+    expected = customers.customer_list(*data, limit=20, offset=offset).collect()
+    drilled = customers.segment_customers(*data, "Service Issue Segment", 20, offset).collect()
+    monkeypatch.setattr(customers, "DEEP_PAGE", 10)
+    assert customers.customer_list(*data, limit=20, offset=offset).collect() == expected
+    assert customers.segment_customers(*data, "Service Issue Segment", 20, offset).collect() == drilled
 
 
 @pytest.mark.parametrize("limit, offset", [(0, 0), (501, 0), (10, -1)])
