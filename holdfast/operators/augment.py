@@ -11,7 +11,7 @@ from holdfast.functions import draws
 from holdfast.functions import labels as L
 from holdfast.functions.numbers import exact_round
 from holdfast.functions.rules import says_yes
-from holdfast.operators.numbering import last_synthetic_number, numbered
+from holdfast.operators.numbering import backfill_ids, last_synthetic_number, numbered
 
 DEFAULT_TARGET = 1800
 SCORING_SPLIT = "scoring_batch"
@@ -123,3 +123,9 @@ def augment_scoring_customers(
     drawn = wanted.join(sources, "position").drop("position", "id")
     made = synthetic_customers(drawn, seed).select(*columns)
     return Augmented(existing, missing, target, made)
+
+
+def insert_synthetic(customers: DataFrame, made: Augmented) -> DataFrame:
+    """The customer table with the new rows, whose ids continue after the largest one."""
+    added = customers.unionByName(made.customers, allowMissingColumns=True)
+    return backfill_ids(added, ["customer_id"]).select(*customers.columns)

@@ -120,6 +120,14 @@ def customer_list(
     )
 
 
+def page_payload(page: DataFrame, limit: int, offset: int) -> dict:
+    """A page of ``customer_list`` as plain values; beyond the end the total is 0."""
+    rows = [row.asDict(recursive=True) for row in page.collect()]
+    total = rows[0]["total_count"] if rows else 0
+    items = [{name: value for name, value in row.items() if name != "total_count"} for row in rows]
+    return {"items": items, "total": total, "limit": limit, "offset": offset}
+
+
 def customer_cards(
     predictions: DataFrame, segments: DataFrame, recommendations: DataFrame
 ) -> DataFrame:

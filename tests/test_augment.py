@@ -74,6 +74,14 @@ def test_numbers_continue(logical, grown):
     assert sorted(r["customer_id"] for r in more.customers.collect()) == ["SYN_00386", "SYN_00387"]
 
 
+def test_inserted_rows_get_the_next_ids(logical, grown):
+    whole = augment.insert_synthetic(logical.customers, grown)
+    assert whole.columns == logical.customers.columns and whole.count() == 150 + 385
+    added = whole.where("customer_id LIKE 'SYN%'").orderBy("customer_id")
+    assert [r["id"] for r in added.collect()] == list(range(151, 151 + 385))
+    assert whole.where("dataset_split = 'scoring_batch'").count() == 400
+
+
 def test_large_enough_batch_is_left_alone(logical):
     found = augment.augment_scoring_customers(logical.customers, 15)
     assert (found.inserted, found.final) == (0, 15) and found.customers.isEmpty()

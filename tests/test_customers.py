@@ -38,7 +38,11 @@ def test_pages_join_up(data):
 
 
 def test_page_beyond_the_end_has_no_rows(data):
-    assert customers.customer_list(*data, limit=10, offset=62).isEmpty()
+    beyond = customers.customer_list(*data, limit=10, offset=62)
+    assert customers.page_payload(beyond, 10, 62) == {"items": [], "total": 0, "limit": 10, "offset": 62}
+    last = customers.page_payload(customers.customer_list(*data, limit=10, offset=61), 10, 61)
+    assert (len(last["items"]), last["total"]) == (1, 62)
+    assert last["items"][0]["health_status"]["code"] == "healthy"
 
 
 @pytest.mark.parametrize("offset", [0, 30, 60, 70])
