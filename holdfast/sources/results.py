@@ -74,9 +74,9 @@ class ResultStore:
         return current_jobs(self.log()).select(*schemas.SCORING_JOBS.names)
 
     def _append(self, row: dict) -> None:
-        values = [row.get(name) for name in LOG_SCHEMA.names]
-        one = self.spark.createDataFrame([tuple(values)], LOG_SCHEMA)
-        one.coalesce(1).write.mode("append").parquet(self._log_path)
+        values = [F.lit(row.get(f.name)).cast(f.dataType).alias(f.name) for f in LOG_SCHEMA.fields]
+        one = self.spark.range(0, 1, 1, 1).select(*values)
+        one.write.mode("append").parquet(self._log_path)
 
     def _state(self, job_id: int | None = None) -> tuple[int, int, dict | None]:
         """The largest id and revision of the log, and the current row of one job."""
@@ -104,7 +104,7 @@ class ResultStore:
                 "high_risk_threshold": L.HIGH_RISK,
                 "medium_risk_threshold": L.MEDIUM_RISK,
                 "status": status,
-                "scoring_date": datetime.now(timezone.utc).replace(tzinfo=None),
+                "scoring_date": datetime.now(timezone.utc),
                 "revision": last_revision + 1,
             }
         )
