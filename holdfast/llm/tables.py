@@ -45,3 +45,25 @@ def fresh(df: DataFrame, stem: str) -> str:
 
 def document_columns(df: DataFrame) -> Sequence[str]:
     return [c for c in ("doc_id", "text", "lang", "source", "n_chars") if c in df.columns]
+
+
+def whole(df: DataFrame) -> DataFrame:
+    """As ``keyed``, with all columns but the text in a struct ``row``, so that no name can clash."""
+    keys = {c.lower(): c for c in df.columns}
+    text = F.coalesce(F.col("text"), F.lit(""))
+    others = [F.col(f"`{c}`") for lower, c in keys.items() if lower != "text"]
+    return df.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("row_id"),
+        F.xxhash64(F.col("doc_id").isNull(), text).alias("row_text"),
+        text.alias("text"),
+        F.struct(*others).alias("row"),
+    )
+
+
+def with_text(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The document columns of ``docs`` from ``row``, with the text from column ``text``."""
+    found = {
+        "text": F.col(text),
+        "n_chars": F.char_length(F.col(text)).cast("long"),
+    }
+    return rows.select(*(found.get(c, F.col("row").getField(c)).alias(c) for c in document_columns(docs)))
