@@ -6,10 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm.substring_dedup import op3_substring_dedup
+from holdfast.llm.chat_format import OP2_SQL, op2_chat_format
+from holdfast.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from holdfast.llm.line_dedup import OP9_SQL, op9_line_dedup
+from holdfast.llm.simhash import op8_simhash
+from holdfast.llm.substring_dedup import OP3_SQL, op3_substring_dedup
+from holdfast.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op2_chat_format": op2_chat_format,
     "op3_substring_dedup": op3_substring_dedup,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op8_simhash": op8_simhash,
+    "op9_line_dedup": op9_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_url_filter": OP1_SQL,
+    "op2_chat_format": OP2_SQL,
+    "op3_substring_dedup": OP3_SQL,
+    "op7_exact_dedup": OP7_SQL,
+    "op9_line_dedup": OP9_SQL,
+}

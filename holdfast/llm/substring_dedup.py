@@ -210,3 +210,24 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
     )
+
+
+OP3_SQL = """
+WITH texts AS (
+    SELECT doc_id, REGEXP_EXTRACT_ALL(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), starts AS (
+    SELECT doc_id, words, UNNEST(RANGE(1, LENGTH(words) - 33)) AS first FROM texts WHERE LENGTH(words) >= 35
+), windows AS (
+    SELECT doc_id, first, ARRAY_TO_STRING(words[first:first + 34], ' ') AS content FROM starts
+), again AS (
+    SELECT doc_id, first FROM windows WHERE content IN (SELECT content FROM windows GROUP BY content HAVING COUNT(*) > 1)
+), removed AS (
+    SELECT doc_id, LIST(DISTINCT place) AS places
+    FROM (SELECT doc_id, UNNEST(RANGE(first, first + 35)) AS place FROM again) GROUP BY doc_id
+), kept AS (
+    SELECT t.doc_id, words, COALESCE(LENGTH(places), 0) AS n_removed,
+        LIST_FILTER(words, LAMBDA w, i: NOT COALESCE(LIST_CONTAINS(places, i), FALSE)) AS stay
+    FROM texts t LEFT JOIN removed r ON t.doc_id = r.doc_id
+)
+SELECT doc_id, LENGTH(words) AS n_words, n_removed, SHA256(ARRAY_TO_STRING(stay, ' ')) AS kept_sha256 FROM kept
+"""
