@@ -178,8 +178,7 @@ def compared(batches: Iterator[pa.RecordBatch], threshold: int, large=group_link
             right.append(b)
         if not left:
             return None
-        a, b = np.concatenate(left), np.concatenate(right)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     held: list[list[np.ndarray]] = []

@@ -18,17 +18,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keyed(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Key, id and text only. A null text is empty; null ids are told apart from every id by ``row_text``."""
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    return df.select(
-        F.coalesce(F.col(id_column).cast("long"), F.lit(-(2**63))).alias("row_id"),
-        F.xxhash64(F.col(id_column).isNull(), text).alias("row_text"),
-        F.col(id_column).cast("long").alias("doc_id"),
-        text.alias("text"),
+def plain_text() -> Column:
+    """The text of a document; null is empty."""
+    return F.coalesce(F.col("text"), F.lit(""))
+
+
+def row_keys() -> tuple[Column, Column]:
+    """The columns of ``KEYS``; null ids are told apart from every id by the second."""
+    return (
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("row_id"),
+        F.xxhash64(F.col("doc_id").isNull(), plain_text()).alias("row_text"),
     )
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """Key, id and text only."""
+    return df.select(*row_keys(), F.col("doc_id").cast("long").alias("doc_id"), plain_text().alias("text"))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lowered, nothing else. Pure ASCII texts take the faster way."""
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -49,15 +56,8 @@ def document_columns(df: DataFrame) -> Sequence[str]:
 
 def whole(df: DataFrame) -> DataFrame:
     """As ``keyed``, with all columns but the text in a struct ``row``, so that no name can clash."""
-    keys = {c.lower(): c for c in df.columns}
-    text = F.coalesce(F.col("text"), F.lit(""))
-    others = [F.col(f"`{c}`") for lower, c in keys.items() if lower != "text"]
-    return df.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("row_id"),
-        F.xxhash64(F.col("doc_id").isNull(), text).alias("row_text"),
-        text.alias("text"),
-        F.struct(*others).alias("row"),
-    )
+    others = [F.col(f"`{c}`") for c in df.columns if c.lower() != "text"]
+    return df.select(*row_keys(), plain_text().alias("text"), F.struct(*others).alias("row"))
 
 
 def with_text(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
