@@ -155,7 +155,12 @@ def group_links(nodes: np.ndarray, codes: np.ndarray, threshold: int) -> tuple[n
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def compared(batches: Iterator[pa.RecordBatch], threshold: int, large=group_links) -> Iterator[pa.RecordBatch]:
+def whole_group(nodes, codes, home, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a large group; being at home does not matter where all are compared."""
+    return group_links(nodes, codes, threshold)
+
+
+def compared(batches: Iterator[pa.RecordBatch], threshold: int, large=whole_group) -> Iterator[pa.RecordBatch]:
     """Links of rows sorted by anchor. Each side of a link found in a small group is at the other's home."""
 
     def links(anchor, node, code, home):
@@ -173,7 +178,7 @@ def compared(batches: Iterator[pa.RecordBatch], threshold: int, large=group_link
             right.append(node[same + shift])
         for g in np.flatnonzero(sizes > SMALL_GROUP):
             own = slice(starts[g], starts[g + 1])
-            a, b = large(node[own], code[own], threshold)
+            a, b = large(node[own], code[own], home[own], threshold)
             left.append(a)
             right.append(b)
         if not left:
@@ -198,7 +203,7 @@ def compared(batches: Iterator[pa.RecordBatch], threshold: int, large=group_link
         yield found
 
 
-def anchor_links(replicas: DataFrame, threshold: int, large=group_links) -> DataFrame:
+def anchor_links(replicas: DataFrame, threshold: int, large=whole_group) -> DataFrame:
     """Links ``a``, ``b`` between nodes that meet at an anchor and differ in at most ``threshold`` bits."""
     return (
         replicas.repartition("anchor")

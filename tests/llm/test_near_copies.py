@@ -1,0 +1,105 @@
+import random
+
+import numpy as np
+import pytest
+
+from holdfast.llm import near_copies as nc
+from holdfast.llm.simhash import _distance
+from tests.llm.helpers import EDGES, documents
+
+
+def words(text):
+    raw = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    for blank in "\t\n\x0b\x0c\r":
+        raw = raw.replace(blank, " ")
+    return [w for w in raw.split(" ") if w]
+
+
+def shingle_set(text):
+    own = words(text)
+    return {tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))} if own else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def brute_links(rows, least=0.8):
+    """Pairs of row numbers whose shingle sets are similar enough."""
+    sets, by_shingle, links = [shingle_set(t) for _, t in rows], {}, set()
+    for k, own in enumerate(sets):
+        for s in own or {None}:
+            by_shingle.setdefault(s, []).append(k)
+    for k, own in enumerate(sets):
+        for other in {j for s in own or {None} for j in by_shingle[s] if j < k}:
+            if jaccard(own, sets[other]) >= least:
+                links.add((other, k))
+    return links
+
+
+def edited(rng, text, changes):
+    own = text.split(" ")
+    for _ in range(changes):
+        own[rng.randrange(len(own))] = f"new{rng.randrange(10**6)}"
+    return " ".join(own)
+
+
+@pytest.fixture(scope="module")
+def planted():
+    rng = random.Random(8)
+    rows = []
+    for base in range(60):
+        n = rng.choice([60, 120, 300])
+        text = " ".join(f"v{rng.randrange(4000)}" for _ in range(n))
+        rows.append((10 * base, text))
+        for copy in range(1, 5):
+            rows.append((10 * base + copy, edited(rng, text, rng.choice([0, 1, n // 60, n // 30, n // 12]))))
+    return rows
+
+
+def test_recall_and_precision(spark, planted):
+    kept = {r.doc_id for r in nc.without_near_copies(documents(spark, planted)).collect()}
+    ids = [i for i, _ in planted]
+    links = brute_links(planted)
+    linked = {ids[b] for _, b in links} | {ids[a] for a, _ in links}
+    assert set(ids) - linked <= kept  # documents without a copy stay
+    both = [(a, b) for a, b in links if ids[a] in kept and ids[b] in kept]
+    assert len(both) <= 0.05 * len(links)
+    for a in set(ids) - kept:  # what goes has a copy
+        assert any(ids[x] == a or ids[y] == a for x, y in links)
+
+
+@pytest.mark.parametrize("clashing", [False, True])
+def test_edges(spark, clashing):
+    base = " ".join(f"k{i}" for i in range(200))
+    rows = EDGES + [(100, base), (101, base + " x"), (102, base.upper()), (None, base)]
+    df = documents(spark, rows, clashing)
+    found = nc.without_near_copies(df)
+    kept = sorted((r.doc_id for r in found.collect()), key=repr)
+    assert found.columns == df.columns
+    # 1 stands for all without words, 4 for "one", 10 for the long pair, 100 for its copies
+    assert kept == sorted([1, 4, 6, 7, 8, 10, -5, 100], key=repr)
+    assert nc.without_near_copies(df.limit(0)).collect() == []
+
+
+def test_large_group_around_one_text(spark):
+    """Copies that are close to the original only, not to each other, in a group too large for all pairs."""
+    rng = random.Random(5)
+    base = " ".join(f"b{rng.randrange(3000)}" for _ in range(300))
+    rows = [(500, base)] + [(1000 + k, edited(rng, base, 6)) for k in range(150)]
+    links = brute_links(rows)
+    near = {b for a, b in links if a == 0}
+    kept = {r.doc_id for r in nc.without_near_copies(documents(spark, rows)).collect()}
+    gone = {k for k in range(1, 151) if rows[k][0] not in kept}
+    assert len(near) > 100 and len(near - gone) <= 0.05 * len(near)
+
+
+def test_every_node_goes_to_one_middle_near_it():
+    rng = np.random.default_rng(1)
+    codes, home = rng.integers(0, 1 << 62, 300), rng.random(300) < 0.5
+    a, b = nc.middle_links(np.arange(300), codes, home, 24)
+    assert len(set(b.tolist())) == len(b) and not set(a.tolist()) & set(b.tolist())
+    assert home[a].all() and (_distance(codes[a], codes[b]) <= 24).all()
+    for k in set(range(300)) - set(a.tolist()) - set(b.tolist()):
+        near = np.flatnonzero((_distance(codes, codes[k : k + 1]) <= 24) & home)
+        assert set(near.tolist()) <= {k, *b.tolist()}
