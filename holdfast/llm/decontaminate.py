@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from holdfast.llm.tables import KEYS, fresh, keyed, read_table, row_keys
 from holdfast.llm.words import MARKS, Namer, slices
 
-SHORTEST = 5
+# Tiles of four words hold most of a passage even if all of its sentences change places.
+SHORTEST = 4
 COVERAGE = 0.6
 LONGEST_SEARCH = 40
 BLOCK_BYTES = 4 << 20
