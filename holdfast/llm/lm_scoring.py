@@ -41,6 +41,8 @@ CONTEXT, WIDTH, NOISE, BATCH, RATE = 3, 16, 32, 2048, 0.1
 KNOWN = 1 << 17
 # Remainders of training documents in each round; 2 is held out.
 FOLDS, HELD_OUT, ROUNDS = 7, 2, ((0, 1, 3), (4, 5, 6))
+# Tokens scored at a time: their scores fit into a core's cache.
+SCORED_BATCH = 512
 # Words a task counts before it passes them on.
 COUNTED = 1 << 18
 
@@ -121,6 +123,10 @@ class Vocabulary:
         return symbol, number
 
     def class_of(self, word: bytes) -> int:
+        # Two bytes that are an ending are two characters; other endings are looked up by characters.
+        own = self.short_endings.get(word[-2:])
+        if own is not None:
+            return own
         end = word.decode()[-2:]
         own = self.endings.get(end)
         return own if own is not None else SYMBOLS - MIXED + zlib.crc32(end.encode()) % MIXED
@@ -161,6 +167,7 @@ def vocabulary(counts: DataFrame, known: int = KNOWN) -> dict:
         "words": int(total[1]),
         "known": {w.encode(): i for i, (w, _) in enumerate(words)},
         "endings": endings,
+        "short_endings": {e.encode(): k for e, k in endings.items() if len(e) == 2 and e.isascii()},
         "log_counts": np.log10(np.array([n for _, n in words] + [0], dtype=np.float64) + 1),
         "symbol_of": np.zeros(len(words) + 1, dtype=np.int64),
         "unigram": (symbol_tokens + 1) / (symbol_tokens.sum() + SYMBOLS),
@@ -212,7 +219,7 @@ def contexts(symbols: np.ndarray, firsts: np.ndarray, end: int) -> np.ndarray:
 
 def _added(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the rows of ``values`` by id."""
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids.astype(np.int16), kind="stable")  # short keys are sorted by radix
     ordered = ids[order]
     starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     return ordered[starts], np.add.reduceat(values[order], starts, axis=0)
@@ -304,13 +311,21 @@ def log_probabilities(values: np.ndarray, context: np.ndarray, target: np.ndarra
     """Normalised log10 probabilities of symbols after their contexts."""
     inputs, outputs, places, bias = (unpacked(values)[n] for n in _SHAPES)
     found = np.empty(len(target))
-    for start in range(0, len(target), BATCH):
-        own = slice(start, start + BATCH)
-        scores = sum(inputs[c] * p for c, p in zip(context[:, own], places)) @ outputs.T + bias[:, 0]
+    # One row more than the vectors: the bias, met by a constant.
+    columns = np.concatenate([outputs, bias], axis=1).T.copy()
+    ones, reach = np.ones(SYMBOLS, dtype=np.float32), np.linalg.norm(columns, axis=0).max()
+    for start in range(0, len(target), SCORED_BATCH):
+        own = slice(start, start + SCORED_BATCH)
+        state = np.ones((len(target[own]), WIDTH + 1), dtype=np.float32)
+        state[:, :-1] = sum(inputs[c] * p for c, p in zip(context[:, own], places))
+        scores = state @ columns
         wanted = scores[np.arange(len(scores)), target[own]].astype(np.float64)
-        top = max(0.0, float(scores.max()) - 60)  # keeps the exponentials in range
-        np.exp(scores - np.float32(top), out=scores)
-        found[own] = wanted - top - np.log(scores.sum(axis=1, dtype=np.float64))
+        # No score is larger than the product of the lengths; this keeps the exponentials in range.
+        top = max(0.0, float(np.linalg.norm(state, axis=1).max() * reach) - 60)
+        if top:
+            scores -= np.float32(top)
+        np.exp(scores, out=scores)
+        found[own] = wanted - top - np.log((scores @ ones).astype(np.float64))
     return found / np.log(10)
 
 
@@ -337,9 +352,10 @@ def _scored(batches: Iterator[pa.RecordBatch], data: dict, values: np.ndarray) -
         model = log_probabilities(values, contexts(symbol, firsts, data["end"]), symbol)
         model += np.where(own_symbol[symbol], 0.0, logs - shares[symbol])
         sums = [np.bincount(document, weights=w, minlength=len(found)) for w in (number >= 0, logs, model)]
-        rare: list[Counter] = [Counter() for _ in found]
-        for i in np.flatnonzero(number < 0).tolist():
-            rare[document[i]][joined[i].decode()] += 1
+        at = np.flatnonzero(number < 0)
+        cuts = np.searchsorted(at, firsts).tolist()
+        unknown = [joined[i] for i in at.tolist()]
+        rare = [Counter(unknown[a:b]) for a, b in zip(cuts, cuts[1:])]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(row + np.arange(len(found))),
@@ -349,7 +365,7 @@ def _scored(batches: Iterator[pa.RecordBatch], data: dict, values: np.ndarray) -
                 pa.array(sums[0].astype(np.int64)),
                 pa.array(sums[1]),
                 pa.array(sums[2]),
-                pa.array([list(r) for r in rare], pa.list_(pa.string())),
+                pa.array([[w.decode() for w in r] for r in rare], pa.list_(pa.string())),
                 pa.array([list(r.values()) for r in rare], pa.list_(pa.int32())),
             ],
             names=["row", "doc_id", "held_out", "n_tokens", "known", "counts", "model", "rare", "times"],
