@@ -14,11 +14,13 @@ from holdfast.functions import health
 from holdfast.functions.numbers import zero_if_null
 from holdfast.functions.rules import risk_rank
 from holdfast.functions.text import timestamp_text
-from holdfast.operators.filters import CustomerFilter, check_page
-from holdfast.operators.numbering import numbered
+from holdfast.operators.filters import PAGE_LIMIT, CustomerFilter, check_page
+from holdfast.session import saved
 
-# Pages that end later than this are found by numbering the rows instead of a top-k.
-DEEP_PAGE = 20_000
+# Rows a top-k may hold for one page; see ``top_rows``.
+PAGE_SCOPE = 20_000
+# Keys that cut the order into ranges, per pass.
+SPLITTERS = 64
 
 
 def result_rows(predictions: DataFrame, segments: DataFrame, recommendations: DataFrame) -> DataFrame:
@@ -28,27 +30,92 @@ def result_rows(predictions: DataFrame, segments: DataFrame, recommendations: Da
     )
 
 
+def _order() -> tuple[Column, Column]:
+    return F.desc_nulls_first("churn_probability"), F.asc("customer_id")
+
+
+def _order_key() -> Column:
+    """Rises in the order of pages: NULL probability first, then falling probability, then id."""
+    p = F.col("churn_probability")
+    return F.struct(p.isNotNull().alias("known"), (-p).alias("falling"), F.col("customer_id").alias("id"))
+
+
+def _literal(key) -> Column:
+    return F.struct(
+        F.lit(key["known"]).alias("known"),
+        F.lit(key["falling"]).cast("double").alias("falling"),
+        F.lit(key["id"]).alias("id"),
+    )
+
+
+def page_scope(df: DataFrame, count: int, skip: int, scope: int = PAGE_SCOPE) -> tuple[DataFrame, int]:
+    """A range of the order that holds a page, and how many rows come before the range.
+
+    Rows are counted per range between sampled keys, and the ranges that hold the page are cut
+    again, until a top-k over them holds ``scope`` rows at most. Only counts and the sampled
+    keys leave the executors; rows are neither sorted nor written.
+    """
+    keys = df.select(_order_key().alias("key"))
+    low = high = None
+    before, size = 0, keys.count()
+    while skip - before + count > scope and size > scope and skip < before + size:
+        sample = keys.sample(min(1.0, 4 * SPLITTERS / size), seed=len(str(size))).limit(16 * SPLITTERS)
+        found = sorted((r["key"] for r in sample.collect()), key=_python_order)
+        cuts = found[:: max(1, len(found) // SPLITTERS)]
+        if not cuts:
+            break
+        place = F.size(F.filter(F.array(*map(_literal, cuts)), lambda cut: cut <= F.col("key")))
+        counts = dict(keys.groupBy(place.alias("range")).count().collect())
+        first = last = start = None
+        at = before
+        for k in range(len(cuts) + 1):
+            end = at + counts.get(k, 0)
+            if first is None and end > skip:
+                first, start = k, at
+            if first is not None and last is None and end >= min(skip + count, before + size):
+                last, stop = k, end
+            at = end
+        if stop - start == size:
+            break
+        low = cuts[first - 1] if first else low
+        high = cuts[last] if last < len(cuts) else high
+        before, size = start, stop - start
+        keys = df.select(_order_key().alias("key"))
+        if low is not None:
+            keys = keys.where(F.col("key") >= _literal(low))
+        if high is not None:
+            keys = keys.where(F.col("key") < _literal(high))
+    if low is not None:
+        df = df.where(_order_key() >= _literal(low))
+    if high is not None:
+        df = df.where(_order_key() < _literal(high))
+    return df, before
+
+
+def _python_order(key) -> tuple:
+    return key["known"], key["falling"] is not None, key["falling"] or 0.0, key["id"] is not None, (key["id"] or "").encode()
+
+
 def top_rows(df: DataFrame, count: int, skip: int = 0) -> DataFrame:
-    """Rows in order of falling probability, NULL first, ids deciding ties.
+    """Rows in order of falling probability, NULL first, ids deciding ties; ``count`` rows after ``skip``.
 
-    A top-k holds all rows up to the page's end in one place. For deep pages the
-    ids are sorted and numbered in parallel, and only the page's rows are kept.
+    The page is written once, so what follows reads its few rows and not the tables behind it.
     """
-    order = [F.desc_nulls_first("churn_probability"), F.asc("customer_id")]
-    if skip + count <= DEEP_PAGE:
-        ordered = df.orderBy(*order)
-        return (ordered.offset(skip) if skip else ordered).limit(count)
-    placed = numbered(df.select("customer_id", "churn_probability"), order, "place", start=0)
-    keys = placed.where(F.col("place").between(skip, skip + count - 1)).select("customer_id")
-    return df.join(F.broadcast(keys), "customer_id", "left_semi").orderBy(*order)
+    check_page(count, skip)
+    scope, before = page_scope(df, count, skip)
+    ordered = scope.orderBy(*_order())
+    page = ordered.offset(skip - before) if skip > before else ordered
+    return saved(page.limit(count)).orderBy(*_order())
 
 
 def look_up(page: DataFrame, *tables: DataFrame) -> DataFrame:
     """Left join of a page with large tables.
 
     The tables are first reduced to the page's keys by a broadcast semi join, so
-    they are scanned but not shuffled. A page has at most 500 rows (``check_page``).
+    they are scanned but not shuffled. More rows than a page may have are refused.
     """
+    if page.limit(PAGE_LIMIT + 1).count() > PAGE_LIMIT:
+        raise ValueError(f"a page has {PAGE_LIMIT} rows at most")
     keys = page.select("customer_id")
     for table in tables:
         found = table.join(F.broadcast(keys), "customer_id", "left_semi")
@@ -96,7 +163,7 @@ def customer_list(
     total = matches.agg(F.count("*")).scalar()
     page = look_up(top_rows(matches, limit, offset), *late)
     score = _score()
-    ordered = page.orderBy(F.desc_nulls_first("churn_probability"), "customer_id")
+    ordered = page.orderBy(*_order())
     return (
         _known_numbers(ordered)
         .select(
@@ -176,7 +243,7 @@ def _drill_down(first: DataFrame, other: DataFrame, columns: list[str], limit: i
             }
         )
         .select(*columns)
-        .orderBy(F.desc_nulls_first("churn_probability"), "customer_id")
+        .orderBy(*_order())
     )
 
 
@@ -222,10 +289,12 @@ def filter_options(
     def values(df: DataFrame, column: str) -> DataFrame:
         return df.where(F.col(column).isNotNull()).select(column).distinct()
 
-    groups = values(predictions, "risk_group")
+    # One scan of the predictions for both of their lists.
+    predicted = saved(predictions.groupBy("risk_group", "main_risk_factor").agg(F.count("*").alias("n")))
+    groups = values(predicted, "risk_group")
     return {
         "risk_groups": groups.orderBy(risk_rank(F.col("risk_group")), "risk_group"),
         "segments": values(segments, "segment_name").orderBy("segment_name"),
         "recommendations": values(recommendations, "recommendation_type").orderBy("recommendation_type"),
-        "main_risk_factors": values(predictions, "main_risk_factor").orderBy("main_risk_factor"),
+        "main_risk_factors": values(predicted, "main_risk_factor").orderBy("main_risk_factor"),
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -63,14 +64,23 @@ class CustomerFilter:
         )
 
 
+def like_pattern(text: str) -> str:
+    """Pattern of a search text. A backslash takes ``%``, ``_`` and itself literally; before others it goes."""
+    return re.sub(r"\\(?![%_\\])|(\\.)", r"\1", f"%{text}%".lower(), flags=re.DOTALL)
+
+
 def id_contains(text: str) -> Column:
     """Case-insensitive search in the id; ``%`` and ``_`` act as wildcards."""
-    return F.lower("customer_id").like(f"%{text}%".lower())
+    return F.lower("customer_id").like(like_pattern(text))
+
+
+# Fixed value: most rows of a page.
+PAGE_LIMIT = 500
 
 
 def check_page(limit: int, offset: int) -> None:
-    if not 1 <= limit <= 500:
-        raise ValueError("limit must be between 1 and 500")
+    if not 1 <= limit <= PAGE_LIMIT:
+        raise ValueError(f"limit must be between 1 and {PAGE_LIMIT}")
     if offset < 0:
         raise ValueError("offset must not be negative")
 

@@ -81,6 +81,13 @@ def p02(t: Tables):
     return filtered(t, CustomerFilter(search="C_1", segment="All"))
 
 
+@query("p02_id_search_backslash", filtered_sql("lower(customer_id) LIKE '%c000%' OR lower(customer_id) LIKE '%c!_%' ESCAPE '!'"))
+def p02_backslash(t: Tables):
+    """A backslash before a plain character goes; before a wildcard it makes it literal."""
+    plain, literal = (filtered(t, CustomerFilter(search=text)) for text in ("C\\000", "C\\_"))
+    return plain.union(literal)
+
+
 @query(
     "p03_equalities",
     filtered_sql("segment_name = 'Tariff Optimization Segment' AND recommendation_type = 'Tariff Optimization'"),
@@ -282,6 +289,20 @@ def l01(t: Tables):
     return customers.top_rows(t.predictions, 500, 250).select("customer_id", "churn_probability")
 
 
+@query(
+    "l01_deep_page",
+    """SELECT customer_id, churn_probability FROM pred
+  ORDER BY churn_probability DESC NULLS FIRST, customer_id
+  LIMIT 100 OFFSET (SELECT CAST(count(*) * 9 // 10 AS BIGINT) FROM pred)""",
+)
+def l01_deep(t: Tables):
+    """A page nine tenths into the table, with a top-k that may hold only a part of it."""
+    offset = t.predictions.count() * 9 // 10
+    scope, before = customers.page_scope(t.predictions, 100, offset, scope=200)
+    page = scope.orderBy(F.desc_nulls_first("churn_probability"), "customer_id").offset(offset - before).limit(100)
+    return page.select("customer_id", "churn_probability")
+
+
 @query(
     "l07_page_bounds",
     """SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / 50) AS BIGINT)) AS pages,

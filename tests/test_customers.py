@@ -45,13 +45,38 @@ def test_page_beyond_the_end_has_no_rows(data):
     assert last["items"][0]["health_status"]["code"] == "healthy"
 
 
-@pytest.mark.parametrize("offset", [0, 30, 60, 70])
-def test_deep_pages_equal_shallow_ones(data, monkeypatch, offset):
-    expected = customers.customer_list(*data, limit=20, offset=offset).collect()
-    drilled = customers.segment_customers(*data, "Service Issue Segment", 20, offset).collect()
-    monkeypatch.setattr(customers, "DEEP_PAGE", 10)
-    assert customers.customer_list(*data, limit=20, offset=offset).collect() == expected
-    assert customers.segment_customers(*data, "Service Issue Segment", 20, offset).collect() == drilled
+@pytest.mark.parametrize("offset", [0, 30, 55, 60, 70])
+def test_pages_do_not_depend_on_how_far_the_order_is_narrowed(data, monkeypatch, offset):
+    expected = customers.customer_list(*data, limit=5, offset=offset).collect()
+    drilled = customers.segment_customers(*data, "Service Issue Segment", 5, offset).collect()
+    monkeypatch.setattr(customers, "SPLITTERS", 3)
+    scope, before = customers.page_scope(data[0], 5, offset, scope=8)
+    assert offset >= 62 or (before <= offset and scope.count() < 62 or offset == 0)
+    page = scope.orderBy(*customers._order()).offset(offset - before).limit(5)
+    assert ids(page) == [r["customer_id"] for r in expected]
+    assert customers.segment_customers(*data, "Service Issue Segment", 5, offset).collect() == drilled
+
+
+def test_repeated_ids_do_not_lengthen_a_page(data):
+    twice = data[0].union(data[0])
+    assert customers.top_rows(twice, 1, 30).count() == 1
+    scope, before = customers.page_scope(twice, 1, 61, scope=2)
+    assert ids(scope.orderBy(*customers._order()).offset(61 - before).limit(1)) == ids(customers.top_rows(twice, 1, 61))
+
+
+def test_look_up_refuses_more_rows_than_a_page_has(data, spark):
+    rows = spark.range(501).selectExpr("CAST(id AS STRING) AS customer_id")
+    with pytest.raises(ValueError, match="500 rows"):
+        customers.look_up(rows, data[1])
+
+
+@pytest.mark.parametrize(
+    "text, wanted",
+    [("a\\b", {"ab", "xaby"}), ("b\\", {"b%"}), ("\\%", {"b%"}), ("a\\_", {"a_b"}), ("a\\\\b", {"a\\b"}), ("A_B", {"a_b", "a\\b"})],
+)
+def test_backslashes_in_a_search(spark, text, wanted):
+    rows = spark.createDataFrame([(i,) for i in ("ab", "xaby", "b%", "a_b", "a\\b")], "customer_id string")
+    assert set(ids(CustomerFilter(search=text).apply(rows))) == wanted
 
 
 @pytest.mark.parametrize("limit, offset", [(0, 0), (501, 0), (10, -1)])
