@@ -36,14 +36,14 @@ def yes_no_text(value: Column) -> Column:
 
 def says_yes(value: Column, trim: str = "blanks") -> Column:
     """Whether plan text means yes. ``trim``: ``none``, ``spaces`` or ``blanks``."""
-    return F.lower(_trimmed(value, trim)).isin(*L.YES_WORDS)
+    return F.lower(trimmed(value, trim)).isin(*L.YES_WORDS)
 
 
 def says_no(value: Column, trim: str = "none") -> Column:
-    return F.lower(_trimmed(value, trim)).isin(*L.NO_WORDS)
+    return F.lower(trimmed(value, trim)).isin(*L.NO_WORDS)
 
 
-def _trimmed(value: Column, trim: str) -> Column:
+def trimmed(value: Column, trim: str = "blanks") -> Column:
     if trim == "none":
         return value
     return F.trim(value) if trim == "spaces" else F.trim(value, F.lit(_BLANKS))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from holdfast.functions import draws
 from holdfast.functions import labels as L
 from holdfast.functions.numbers import exact_round
-from holdfast.functions.rules import says_yes
+from holdfast.functions.rules import says_yes, trimmed
 from holdfast.operators.numbering import backfill_ids, last_synthetic_number, numbered
 
 DEFAULT_TARGET = 1800
@@ -44,7 +44,7 @@ class Augmented:
 
 def _flip(value, probability: float, draw):
     """Plan text, turned into its opposite with the given probability."""
-    kept = F.trim(F.when(value != "", value).otherwise("No"))
+    kept = trimmed(F.when(value != "", value).otherwise("No"))
     return F.when(draw >= probability, kept).otherwise(F.when(says_yes(kept, "none"), "No").otherwise("Yes"))
 
 

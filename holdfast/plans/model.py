@@ -14,19 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast.operators.quality import require_label
-from holdfast.session import checkpoint_root
+from holdfast.schemas import CUSTOMERS
+from holdfast.session import checkpoint_root, saved
 from holdfast.sources.files import read_if_present
 
-NUMERIC_FEATURES = (
-    "account_length", "area_code", "number_vmail_messages",
-    "total_day_minutes", "total_day_calls", "total_day_charge",
-    "total_eve_minutes", "total_eve_calls", "total_eve_charge",
-    "total_night_minutes", "total_night_calls", "total_night_charge",
-    "total_intl_minutes", "total_intl_calls", "total_intl_charge",
-    "customer_service_calls",
-)
-CATEGORICAL_FEATURES = ("state", "international_plan", "voice_mail_plan")
+# Features are all columns of a customer but ids, split and label: texts are categories.
+_FEATURES = [f for f in CUSTOMERS if f.name not in ("id", "customer_id", "dataset_split", "churn")]
+NUMERIC_FEATURES = tuple(f.name for f in _FEATURES if f.dataType != T.StringType())
+CATEGORICAL_FEATURES = tuple(f.name for f in _FEATURES if f.dataType == T.StringType())
 
+# Names under which models and their jobs are listed.
 ALGORITHM = "Gradient Boosting"
 MODEL_NAME = "Churn prediction model"
 REGISTERED_NAME = "churn_prediction_model"
@@ -103,7 +100,11 @@ def roc_auc(df: DataFrame, label: str = "churn", score: str = "churn_probability
 
 
 def binary_metrics(df: DataFrame, label: str = "churn", score: str = "churn_probability") -> DataFrame:
-    """One row with ROC-AUC (NULL if only one class occurs), F1, recall, precision, accuracy."""
+    """One row with ROC-AUC (NULL if only one class occurs), F1, recall, precision, accuracy.
+
+    Labels and scores are written once: both measures read them, and the model behind them runs once.
+    """
+    df = saved(df.select(label, score))
     area = F.when(F.col("both_classes"), F.lit(float(roc_auc(df, label, score))))
     return confusion(df, label, score).select(
         area.alias("roc_auc"), "f1_score", "recall", "precision", "accuracy"

@@ -1,11 +1,16 @@
 """Model, metrics, runs and synthetic customers.
 
 A fitted model has no SQL counterpart: queries around it report what must hold
-whatever the model is.
+whatever the model is, per customer or split.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from holdfast.functions import draws
@@ -58,15 +63,30 @@ def rows_of(t: Tables, *splits: str):
     return prepare_features(t.customers.where(F.col("dataset_split").isin(*splits)))
 
 
-@query("m02_assembled_features")
-def m02(t: Tables):
-    """Vectors fitted on the training rows, applied to every customer."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
+def flags_sql(column: str) -> str:
+    """One digit per category of the training rows, in alphabetical order."""
+    return f"""(SELECT string_agg(CASE WHEN p.{column} = category THEN '1' ELSE '0' END, '' ORDER BY category)
+    FROM (SELECT DISTINCT {column} AS category FROM prepared WHERE dataset_split = 'train') known)"""
 
+
+@query(
+    "m02_assembled_features",
+    f"""SELECT customer_id, {' || '.join(flags_sql(c) for c in model.CATEGORICAL_FEATURES)} AS flags,
+  {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in model.NUMERIC_FEATURES)} FROM prepared p""",
+)
+def m02(t: Tables):
+    """Vectors fitted on the training rows, applied to every customer: the flags as digits, and the numbers."""
     fitted = Pipeline(stages=model.feature_stages()).fit(rows_of(t, "train"))
-    assembled = fitted.transform(prepare_features(t.customers))
-    return assembled.select("customer_id", vector_to_array("features").alias("features"))
+    assembled = fitted.transform(prepare_features(t.customers)).select(
+        "customer_id", vector_to_array("features").alias("features")
+    )
+    numbers, size = model.NUMERIC_FEATURES, F.size("features")
+    flags = F.slice("features", F.lit(1), size - len(numbers))
+    return assembled.select(
+        "customer_id",
+        F.array_join(F.transform(flags, lambda f: f.cast("int").cast("string")), "").alias("flags"),
+        *(F.get("features", size - len(numbers) + i).alias(name) for i, name in enumerate(numbers)),
+    )
 
 
 _FITTED: dict[tuple[str, str], object] = {}
@@ -80,33 +100,64 @@ def fitted(t: Tables):
     return _FITTED[key]
 
 
-@query("m03_model_metrics")
+@query(
+    "m03_model_metrics",
+    """SELECT split AS dataset_split, TRUE AS within_bounds, TRUE AS better_than_chance
+  FROM (VALUES ('validation'), ('test')) splits(split)""",
+)
 def m03(t: Tables):
-    scored = model.score_customers(rows_of(t, "validation", "test"), fitted(t))
-    parts = [
-        model.binary_metrics(scored.where(F.col("dataset_split") == split)).withColumn(
-            "dataset_split", F.lit(split)
+    """What must hold for the metrics of any useful model; a constant scorer has an area of one half."""
+    parts = []
+    for split in ("validation", "test"):
+        metrics = model.binary_metrics(model.score_customers(rows_of(t, split), fitted(t)))
+        within = [F.coalesce(F.col(m).between(0, 1), F.lit(False)) for m in METRICS]
+        parts.append(
+            metrics.select(
+                F.lit(split).alias("dataset_split"),
+                reduce(and_, within).alias("within_bounds"),
+                (F.col("roc_auc") > 0.5).alias("better_than_chance"),
+            )
         )
-        for split in ("validation", "test")
-    ]
     return parts[0].unionByName(parts[1])
 
 
-@query("m04_scored_customers")
+@query(
+    "m04_scored_customers",
+    """SELECT customer_id, TRUE AS in_range, TRUE AS same_alone FROM raw
+  WHERE dataset_split = 'scoring_batch'""",
+)
 def m04(t: Tables):
-    scored = model.score_customers(rows_of(t, "scoring_batch"), fitted(t))
-    return scored.select("customer_id", "churn_probability")
+    """Probabilities are in range, and a customer's does not depend on who is scored beside it."""
+    batch = rows_of(t, "scoring_batch")
+    scored = model.score_customers(batch, fitted(t)).select("customer_id", "churn_probability")
+    order = batch.repartition(3, "state").select(*batch.columns)
+    again = model.score_customers(order, fitted(t)).select("customer_id", F.col("churn_probability").alias("again"))
+    return scored.join(again, "customer_id").select(
+        "customer_id",
+        F.col("churn_probability").between(0, 1).alias("in_range"),
+        (F.col("churn_probability") == F.col("again")).alias("same_alone"),
+    )
 
 
-@query("m08_model_versions")
+@query(
+    "m08_model_versions",
+    """SELECT customer_id, CAST(2 AS INTEGER) AS version, TRUE AS as_before_saving FROM raw
+  WHERE dataset_split = 'scoring_batch'""",
+)
 def m08(t: Tables):
-    """Store the model twice; the latest version, loaded again, scores the batch."""
+    """Store the model twice; the latest version, loaded again, scores the batch as the fitted one does."""
     store = model.ModelStore(t.spark, t.scratch("models"))
     for _ in range(2):
         store.register(fitted(t))
     latest = store.latest()
-    scored = model.score_customers(rows_of(t, "scoring_batch"), store.load(latest))
-    return scored.select("customer_id", "churn_probability", F.lit(latest.version).alias("version"))
+    batch = rows_of(t, "scoring_batch")
+    loaded = model.score_customers(batch, store.load(latest)).select("customer_id", "churn_probability")
+    unsaved = model.score_customers(batch, fitted(t)).select("customer_id", F.col("churn_probability").alias("unsaved"))
+    return loaded.join(unsaved, "customer_id").select(
+        "customer_id",
+        F.lit(latest.version).alias("version"),
+        (F.col("churn_probability") == F.col("unsaved")).alias("as_before_saving"),
+    )
 
 
 @query(
@@ -202,6 +253,7 @@ def flip_sql(column: str, chance: float, name: str) -> str:
 
 
 PARTS = ("day", "eve", "night", "intl")
+PADDED = "chr(9) || voice_mail_plan || chr(10) || ' '"
 SYNTHETIC = f"""batch AS (
   SELECT *, row_number() OVER (ORDER BY id) - 1 AS position FROM raw WHERE dataset_split = 'scoring_batch'
 ), wanted AS (
@@ -270,3 +322,21 @@ def g03(t: Tables):
         F.col("total_day_calls").alias("day_calls"),
         "voice_mail_plan",
     )
+
+
+@query(
+    "g03_padded_plan",
+    f"""SELECT customer_id, {flip_sql('voice_mail_plan', 0.04, 'voice_flip')} AS voice_mail_plan
+  FROM (SELECT * EXCLUDE (voice_mail_plan), trim({PADDED}, ' ' || chr(9) || chr(10)) AS voice_mail_plan,
+    CAST(id AS BIGINT) AS number FROM raw) numbered_rows""",
+)
+def g03_padded(t: Tables):
+    """Plan text loses all white space around it, not only blanks."""
+    padded = F.concat(F.lit("\t"), F.col("voice_mail_plan"), F.lit("\n "))
+    varied = augment.synthetic_customers(
+        t.customers.withColumns(
+            {"number": F.col("id").cast("bigint"), "source": F.col("customer_id"), "voice_mail_plan": padded}
+        ),
+        42,
+    )
+    return varied.select(F.col("source").alias("customer_id"), "voice_mail_plan")

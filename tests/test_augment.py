@@ -100,3 +100,15 @@ def test_missing_source_values(spark, logical):
     row = one(augment.synthetic_customers(empty, 42))
     assert row["total_day_minutes"] == 0.0 and row["account_length"] >= 1
     assert row["voice_mail_plan"] in ("No", "Yes")
+
+
+@pytest.mark.parametrize(
+    "text, flipped, kept",
+    [("\tYes", "No", "Yes"), (" no\n", "Yes", "no"), ("1\r\n", "No", "1"), ("", "Yes", "No"), ("\x0bTRUE ", "No", "TRUE")],
+)
+def test_plan_text_loses_all_white_space(spark, text, flipped, kept):
+    row = spark.createDataFrame([(text,)], "plan string")
+    found = row.select(
+        augment._flip(F.col("plan"), 1.0, F.lit(0.5)).alias("flipped"), augment._flip(F.col("plan"), 0.0, F.lit(0.5)).alias("kept")
+    ).first()
+    assert (found["flipped"], found["kept"]) == (flipped, kept)
