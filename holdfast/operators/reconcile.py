@@ -6,7 +6,10 @@ counterpart stay as they are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 from holdfast.functions import rules
 from holdfast.operators import quality
 from holdfast.sources.buckets import buckets_for, saved_by_customer
+from holdfast.sources.results import ResultStore
 
 
 def _updated(rows: DataFrame, columns: list[str], expected: dict[str, Column]) -> DataFrame:
@@ -103,32 +107,51 @@ def reconcile(
     customers: DataFrame,
     check_only: bool = False,
     buckets: int | None = None,
+    save: Callable[[str, DataFrame], DataFrame] | None = None,
 ) -> Reconciled:
     """Count, correct factors, then recommendations, then segments, and count again.
 
-    The corrected tables are saved once each: later steps and the report read the
-    files instead of repeating the joins.
+    The corrected tables are written once each, by ``save`` (see ``reconcile_results``) or to
+    scratch: later steps and the report read the files instead of repeating the joins.
     """
     before = consistency(predictions, segments, recommendations, customers, "before")
     if check_only:
         return Reconciled(before)
-    buckets = buckets or buckets_for(predictions.count())
-    new_p = saved_by_customer(reconcile_factors(predictions, customers), buckets)
-    new_r = saved_by_customer(reconcile_recommendations(recommendations, new_p), buckets)
-    new_s = saved_by_customer(reconcile_segments(segments, new_p, customers), buckets)
+    if save is None:
+        count = buckets or buckets_for(customers.count())
 
-    def changes(df: DataFrame):
-        return df.agg(F.count_if("changed")).scalar()
+        def save(table: str, rows: DataFrame) -> DataFrame:
+            return saved_by_customer(rows, count)
 
-    plain = [df.drop("changed") for df in (new_p, new_s, new_r)]
-    after = consistency(*plain, customers, "after")
+    new_p = save("predictions", reconcile_factors(predictions, customers).drop("changed"))
+    new_r = save("customer_recommendations", reconcile_recommendations(recommendations, new_p).drop("changed"))
+    new_s = save("customer_segments", reconcile_segments(segments, new_p, customers).drop("changed"))
+    after = consistency(new_p, new_s, new_r, customers, "after")
+    advice = ("recommendation_type", "recommendation_reason", "priority")
     report = before.withColumns(
         {
-            "updated_risk_factors": changes(new_p),
-            "updated_recommendations": changes(new_r),
-            "updated_segments": changes(new_s),
+            "updated_risk_factors": _changes(predictions, new_p, "main_risk_factor"),
+            "updated_recommendations": _changes(recommendations, new_r, *advice),
+            "updated_segments": _changes(segments, new_s, "segment_id", "segment_name"),
             "recommendations_after": after.select("recommendations_after").scalar(),
             "segments_after": after.select("segments_after").scalar(),
         }
     )
-    return Reconciled(report, *plain)
+    return Reconciled(report, new_p, new_s, new_r)
+
+
+def _changes(old: DataFrame, new: DataFrame, *columns: str) -> Column:
+    """Number of customers for whom any of the columns differs; tables bucketed alike are not shuffled."""
+    renamed = new.select("customer_id", *(F.col(c).alias(f"__{c}") for c in columns))
+    differs = reduce(or_, (~F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns))
+    return old.join(renamed, "customer_id").agg(F.count_if(differs)).scalar()
+
+
+def reconcile_results(results: ResultStore, customers: DataFrame) -> DataFrame:
+    """Reconcile the published tables of a store, writing each once, and return the report."""
+    found = results.published()
+    with results.amending() as save:
+        done = reconcile(
+            found["predictions"], found["customer_segments"], found["customer_recommendations"], customers, save=save
+        )
+    return done.report

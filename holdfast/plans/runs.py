@@ -26,14 +26,17 @@ def _features(rows: DataFrame) -> DataFrame:
     return prepare_features(rows.drop("id", "dataset_split"))
 
 
-def score_and_save(rows: DataFrame, model, results: ResultStore, job_id: int) -> None:
+def score_and_save(
+    rows: DataFrame, model, results: ResultStore, job_id: int, customers: DataFrame | None = None
+) -> None:
     """Score customers and publish predictions, segments and recommendations.
 
     The model runs once: segments do not depend on it, and recommendations are
-    derived from the predictions as written.
+    derived from the predictions as written. The bucket count is that of the whole
+    customer table, so later joins with it need no shuffle.
     """
     require_rows(scoring=rows)
-    features, buckets = _features(rows), results.bucket_count(rows)
+    features, buckets = _features(rows), results.bucket_count(rows if customers is None else customers)
     scored = scoring.enrich_predictions(score_customers(features, model))
     predictions = results.write_predictions(job_id, scored, buckets)
     folder = f"job_{job_id}"
@@ -45,12 +48,17 @@ def score_and_save(rows: DataFrame, model, results: ResultStore, job_id: int) ->
 
 
 def _run(
-    rows: DataFrame, models: ModelStore, version: ModelVersion | None, results: ResultStore, job: dict
+    customers: DataFrame,
+    rows: DataFrame,
+    models: ModelStore,
+    version: ModelVersion | None,
+    results: ResultStore,
+    job: dict,
 ) -> int:
     """Score within a job; whatever goes wrong marks the job as failed."""
     job_id = results.create_job(job)
     try:
-        score_and_save(rows, models.load(version), results, job_id)
+        score_and_save(rows, models.load(version), results, job_id, customers)
     except Exception:
         results.update_status(job_id, "failed")
         raise
@@ -73,7 +81,7 @@ def run_scoring(
         "model_version": f"{version.name}/{version.version}" if version else f"{name}/latest",
         "algorithm": ALGORITHM,
     }
-    return _run(rows, models, version, results, job)
+    return _run(customers, rows, models, version, results, job)
 
 
 def run_weekly(
@@ -93,4 +101,4 @@ def run_weekly(
         rounds=rounds,
         seed=seed,
     )
-    return _run(rows["scoring"], models, learnt["model"], results, learnt)
+    return _run(customers, rows["scoring"], models, learnt["model"], results, learnt)

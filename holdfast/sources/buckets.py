@@ -22,9 +22,16 @@ def table_name(path: str) -> str:
     return "holdfast_" + hashlib.md5(path.encode()).hexdigest()[:16]
 
 
-def buckets_for(rows: int) -> int:
-    """A bucket per four million rows (a few hundred MB), within 8 and 50,000."""
-    return max(8, min(50_000, -(-rows // ROWS_PER_BUCKET)))
+def buckets_for(rows: int, least: int = 8, most: int = 50_000) -> int:
+    """A bucket per four million rows (a few hundred MB), ``least`` at least.
+
+    ``most`` is what ``spark.sql.sources.bucketing.maxBuckets`` allows (100,000 unless it is set);
+    a table that needs more is refused rather than given ever larger buckets.
+    """
+    wanted = max(least, -(-rows // ROWS_PER_BUCKET))
+    if wanted > most:
+        raise ValueError(f"{rows} rows need {wanted} buckets; raise `most` (now {most}) or ROWS_PER_BUCKET")
+    return wanted
 
 
 def write_bucketed(df: DataFrame, path: str, buckets: int, key: str = KEY) -> None:
@@ -40,10 +47,18 @@ def write_bucketed(df: DataFrame, path: str, buckets: int, key: str = KEY) -> No
     )
 
 
+def _registered_alike(spark: SparkSession, name: str, schema: StructType, buckets: int) -> bool:
+    described = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+    columns = [(f.name, f.dataType) for f in spark.table(name).schema]
+    return described.get("Num Buckets") == str(buckets) and columns == [(f.name, f.dataType) for f in schema]
+
+
 def read_bucketed(
     spark: SparkSession, path: str, schema: StructType, buckets: int, key: str = KEY
 ) -> DataFrame:
     name = table_name(path)
+    if spark.catalog.tableExists(name) and not _registered_alike(spark, name, schema, buckets):
+        spark.sql(f"DROP TABLE {name}")  # the table is external: its files stay
     if not spark.catalog.tableExists(name):
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
         spark.sql(

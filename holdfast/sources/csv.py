@@ -36,11 +36,18 @@ def write_report_csv(df: DataFrame, path: str, keep_empty: bool, single_file: bo
     several files, each with its header and in row order; ``single_file`` is for
     results known to be small. A line feed inside a value is written as CRLF too.
     """
-    if not keep_empty:
-        df = df.cache()  # summaries: a few rows, looked at before they are written
-        if df.isEmpty():
-            df.unpersist()
-            return
+    if keep_empty:
+        _write_rows(df, path, single_file)
+        return
+    kept = df.cache()  # summaries: a few rows, looked at before they are written
+    try:
+        if not kept.isEmpty():
+            _write_rows(kept, path, single_file)
+    finally:
+        kept.unpersist()
+
+
+def _write_rows(df: DataFrame, path: str, single_file: bool) -> None:
     if single_file:
         df = df.coalesce(1)
     first, *rest = df.columns

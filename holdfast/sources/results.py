@@ -8,6 +8,8 @@ run that fails half-way changes nothing for them. One run writes at a time.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,7 +18,7 @@ from pyspark.sql import types as T
 
 from holdfast import schemas
 from holdfast.functions import labels as L
-from holdfast.sources.buckets import buckets_for, read_bucketed, write_bucketed
+from holdfast.sources.buckets import buckets_for, read_bucketed, table_name, write_bucketed
 from holdfast.sources.files import read_if_present
 
 TABLES = {
@@ -157,16 +159,57 @@ class ResultStore:
         done = current_jobs(self.log()).where(F.col("status") == "success")
         return done.orderBy(F.desc("revision")).select("id", "buckets", "folder").first()
 
-    def amend(self, tables: dict[str, DataFrame]) -> None:
-        """Replace all result tables of the latest success, as a reconciliation does."""
+    @contextmanager
+    def amending(self) -> Iterator[Callable[[str, DataFrame], DataFrame]]:
+        """Replace all result tables of the latest success, as a reconciliation does.
+
+        Gives a function that writes one table to the new run's folder and returns it as written.
+        Readers see the new tables when the block ends; if it raises, they never do.
+        """
         latest = self._latest()
         if latest is None:
             raise ValueError("There are no results to amend.")
         folder = f"job_{latest['id']}_amended_{self._state()[1] + 1}"
-        for table in TABLES:
-            self.write(table, folder, tables[table], latest["buckets"])
+        missing = set(TABLES)
+
+        def save(table: str, rows: DataFrame) -> DataFrame:
+            missing.discard(table)
+            return self.write(table, folder, rows, latest["buckets"])
+
+        yield save
+        if missing:
+            raise ValueError(f"not amended: {', '.join(sorted(missing))}")
         self.commit(latest["id"], folder, latest["buckets"])
 
+    def amend(self, tables: dict[str, DataFrame]) -> None:
+        """Replace all result tables of the latest success by the given ones."""
+        with self.amending() as save:
+            for table in TABLES:
+                save(table, tables[table])
+
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Remove the folders of superseded runs and their tables; return the names of those removed.
+
+        The published run and the ``keep - 1`` successes before it stay, and so does every folder that
+        the log does not name as a success: a run may be writing it.
+        """
+        if keep < 1:
+            raise ValueError("the published run is always kept")
+        done = self.log().where((F.col("status") == "success") & F.col("folder").isNotNull())
+        newest = done.groupBy("folder").agg(F.max("revision").alias("revision")).orderBy(F.desc("revision"))
+        gone = []
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in [r["folder"] for r in newest.collect()[keep:]]:
+            found = False
+            for table in TABLES:
+                path = f"{self.root}/{table}/{folder}"
+                self.spark.sql(f"DROP TABLE IF EXISTS {table_name(path)}")
+                target = jvm.org.apache.hadoop.fs.Path(path)
+                found |= target.getFileSystem(conf).delete(target, True)
+            if found:
+                gone.append(folder)
+        return gone
+
     def published(self) -> dict[str, DataFrame]:
         """The result tables of the latest success; empty tables before the first one."""
         row = self._latest()

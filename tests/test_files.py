@@ -1,16 +1,19 @@
 import csv as python_csv
 import glob
 import io
+import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from holdfast import schemas
 from holdfast.operators import exports, reports
 from holdfast.operators.filters import CustomerFilter
 from holdfast.plans import runs
 from holdfast.session import scratch_path
 from holdfast.sources import csv
-from holdfast.sources.buckets import buckets_for, table_name
+from holdfast.sources.buckets import buckets_for, read_bucketed, table_name
 from holdfast.sources.results import ResultStore
 from tests.helpers import prediction, predictions, recommendations, segments
 
@@ -178,11 +181,45 @@ def test_failed_run_keeps_old_results(spark, store, data):
 
     rows = spark.createDataFrame([("C9", "x")], "customer_id string, dataset_split string")
     with pytest.raises(RuntimeError):
-        runs._run(rows, NoModels(), None, store, {})
+        runs._run(rows, rows, NoModels(), None, store, {})
     assert {r["id"]: r["status"] for r in store.jobs().collect()} == {1: "success", 2: "failed"}
     assert store.published()["predictions"].count() == 2
 
 
 def test_bucket_count_follows_the_rows(spark):
-    assert [buckets_for(n) for n in (0, 10**6, 32_000_001, 10**12)] == [8, 8, 9, 50_000]
+    assert [buckets_for(n) for n in (0, 10**6, 32_000_001)] == [8, 8, 9]
+    assert buckets_for(10**12, most=250_000) == 250_000 and buckets_for(5, least=2) == 2
+    with pytest.raises(ValueError, match="250000 buckets"):
+        buckets_for(10**12)
     assert ResultStore(spark, "unused").bucket_count(spark.range(5)) == 8
+
+
+def test_vacuum_keeps_what_is_published(spark, store, data):
+    for _ in range(3):
+        store.publish(store.create_job({}), *data)
+    store.amend(store.published())
+    before = sorted(store.published()["predictions"].collect())
+    assert store.vacuum(keep=2) == ["job_2", "job_1"]
+    assert store.vacuum() == ["job_3"] and store.vacuum() == []
+    assert sorted(store.published()["predictions"].collect()) == before
+    assert not spark.catalog.tableExists(table_name(f"{store.root}/predictions/job_2"))
+    assert not os.path.exists(f"{store.root}/predictions/job_3")
+    with pytest.raises(ValueError):
+        store.vacuum(keep=0)
+
+
+def test_half_an_amendment_is_not_shown(store, data):
+    store.publish(store.create_job({}), *data)
+    before = sorted(store.published()["predictions"].collect())
+    with pytest.raises(ValueError, match="not amended"):
+        with store.amending() as save:
+            save("predictions", store.published()["predictions"].limit(0))
+    assert sorted(store.published()["predictions"].collect()) == before
+
+
+def test_registrations_that_no_longer_fit_are_replaced(spark, store, data):
+    store.publish(store.create_job({}), *data)
+    path = f"{store.root}/predictions/job_1"
+    assert read_bucketed(spark, path, StructType(schemas.PREDICTIONS.fields[:1]), 16).columns == ["customer_id"]
+    assert read_bucketed(spark, path, schemas.PREDICTIONS, 16).columns == schemas.PREDICTIONS.names
+    assert read_bucketed(spark, path, schemas.PREDICTIONS, 16).count() == 2

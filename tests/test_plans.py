@@ -4,10 +4,14 @@ import re
 
 import pytest
 from holdfast.functions import labels as L
-from holdfast.operators import customers, features, numbering, reconcile, reports, scoring
+from holdfast.operators import customers, features, numbering, quality, reconcile, reports, scoring
 from holdfast.operators.filters import CustomerFilter
+from holdfast.plans import runs
 from holdfast.queries.aggregates import segment_cells
+from holdfast.session import scratch_path
+from holdfast.sources import buckets
 from holdfast.sources.customers import customers_in_splits
+from holdfast.sources.results import ResultStore
 
 
 def plan(df) -> str:
@@ -32,15 +36,18 @@ def test_result_tables_join_without_shuffle(logical, large):
 
 
 def test_page_shuffles_no_table(logical, large):
-    page = customers.customer_list(*logical.result_tables, CustomerFilter(min_probability=0.3), 100, 20)
-    text = plan(page)
-    assert "TakeOrderedAndProject" in text
-    # a shuffle sees the page or what the semi join with the page's keys has left of a table
+    chosen = CustomerFilter(min_probability=0.3)
+    text = plan(customers.customer_list(*logical.result_tables, chosen, 100, 20))
+    # the page was computed and written before; each table is scanned once, for the semi join with its keys
     assert text.count("LeftSemi, BuildRight") == 2
+    assert sum("customer_segments" in line or "segment_name:string" in line for line in text.splitlines() if "FileScan" in line) == 1
     for before, after in zip(text.splitlines(), text.splitlines()[1:]):
         if "Exchange hashpartitioning" in before:
-            assert "FileScan" not in after and "Filter" not in after
+            assert "FileScan" not in after or "holdfast-" in after
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    scope, _ = customers.page_scope(chosen.apply(logical.predictions), 100, 20)
+    text = plan(scope.orderBy(*customers._order()).offset(20).limit(100))
+    assert "TakeOrderedAndProject" in text and text.count("FileScan") == 1
     assert "PushedFilters: [IsNotNull(churn_probability), GreaterThanOrEqual(churn_probability,0.3)" in text
 
 
@@ -99,3 +106,24 @@ def test_counts_are_combined_before_the_shuffle(logical):
     text = plan(reports.risk_distribution(reports.cells(logical.predictions, "risk_group")))
     assert "partial_count(1)" in text
     assert "ReadSchema: struct<risk_group:string>" in text
+
+
+def test_a_run_on_defaults_reconciles_without_moving_customers(spark, logical, large, monkeypatch):
+    """The run scores a tenth of the customers, but takes its bucket count from all of them."""
+    monkeypatch.setattr(buckets, "ROWS_PER_BUCKET", 10)
+    path = scratch_path(spark, "customers")
+    count = buckets.buckets_for(logical.customers.count())
+    assert count > 8
+    buckets.write_bucketed(logical.customers, path, count)
+    customer_table = buckets.read_bucketed(spark, path, logical.customers.schema, count)
+    store = ResultStore(spark, scratch_path(spark, "results"))
+    batch = logical.inputs.where("dataset_split = 'scoring_batch'")
+    monkeypatch.setattr(runs, "score_customers", lambda features, model: features)
+    runs.score_and_save(batch, None, store, store.create_job({}), customer_table)
+    p, s, r = (store.published()[n] for n in ("predictions", "customer_segments", "customer_recommendations"))
+    for df in (
+        reconcile.reconcile_factors(p, customer_table),
+        reconcile.reconcile_segments(s, p, customer_table),
+        quality.drifted_segments(s, p, customer_table),
+    ):
+        assert "Exchange" not in plan(df)

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from holdfast.operators import quality, reconcile
+from holdfast.sources.results import ResultStore
 from tests.helpers import one, prediction, predictions, recommendations, segments
 
 
@@ -78,6 +79,16 @@ def test_reconciling_twice_changes_nothing(drifted):
     assert [again[f"updated_{n}"] for n in ("risk_factors", "recommendations", "segments")] == [0, 0, 0]
 
 
+def test_published_results_are_reconciled_in_place(spark, drifted, tmp_path):
+    p, s, r, c = drifted
+    store = ResultStore(spark, str(tmp_path), 2)
+    store.publish(store.create_job({}), p, s, r)
+    report = one(reconcile.reconcile_results(store, c)).asDict()
+    assert (report["updated_risk_factors"], report["updated_recommendations"], report["updated_segments"]) == (2, 3, 2)
+    again = one(reconcile.reconcile_results(store, c)).asDict()
+    assert set(again.values()) == {0}
+
+
 def test_missing_risk_group_is_no_contradiction(spark):
     p = predictions(spark, [prediction("A", group=None), prediction("B", group="Low"), prediction("C", group="High")])
     r = recommendations(spark, [("A", "No Action", "", ""), ("B", None, "", ""), ("C", "No Action", "", "")])
