@@ -75,6 +75,9 @@ def ordered_split(df: DataFrame, key: str = "id", column: str = "dataset_split")
     for name, rank in reversed(list(zip(SPLIT_NAMES, ranks))):
         if rank in limits:
             chain = F.when(F.col(key) <= limits[rank], name).otherwise(chain)
+        elif rank > 0:
+            # The limit lies among rows without a key, which come last: all keyed rows are below it.
+            chain = F.when(F.col(key).isNotNull(), name).otherwise(chain)
     existing = F.col(column) if column in df.columns else F.lit(None).cast("string")
     return df.withColumn(column, F.coalesce(existing, chain))
 

@@ -40,7 +40,7 @@ BASE = """WITH usage AS (
          row_number() OVER (ORDER BY k) AS rn, count(*) OVER () AS total_count
   FROM priced
 ), raw AS (
-  SELECT CAST(k + 1 AS INTEGER) AS id,
+  SELECT CAST(k + 1 AS BIGINT) AS id,
          'C' || CASE WHEN k + 1 < 100000 THEN lpad(CAST(k + 1 AS VARCHAR), 5, '0')
                      ELSE CAST(k + 1 AS VARCHAR) END AS customer_id,
          CASE WHEN rn <= total_count * 0.60 THEN 'train'
@@ -80,14 +80,14 @@ BASE = """WITH usage AS (
   SELECT *,
          CASE WHEN churn_probability < 0.35 THEN 'Low' WHEN churn_probability < 0.7 THEN 'Medium'
               ELSE 'High' END AS risk_group,
-         CASE WHEN customer_service_calls > 2 THEN 'Customer service calls >= 3'
+         CASE WHEN customer_service_calls >= 3 THEN 'Customer service calls >= 3'
               WHEN total_day_charge >= 40 THEN 'High day charge'
               WHEN international_plan = 'yes' THEN 'International plan'
               WHEN voice_mail_plan = 'no' THEN 'No voice mail plan'
               ELSE 'Stable customer profile' END AS main_risk_factor
   FROM prepared
 ), segmented AS (
-  SELECT *, CAST(CASE WHEN customer_service_calls > 2 THEN 1
+  SELECT *, CAST(CASE WHEN customer_service_calls >= 3 THEN 1
                  WHEN total_day_minutes >= 230 OR total_day_charge >= 40 OR estimated_total_charge >= 65 THEN 2
                  WHEN international_plan = 'yes' OR total_intl_minutes >= 10 OR total_intl_charge >= 3 THEN 3
                  ELSE 4 END AS INTEGER) AS rule_segment_id,

@@ -22,7 +22,6 @@ from holdfast.queries.registry import query, sql_case, sql_text
 from holdfast.queries.tables import Tables
 
 
-
 def facts(t: Tables):
     return customers.result_rows(*t.result_tables)
 
@@ -46,7 +45,7 @@ def f05(t: Tables):
 @query(
     "f06_main_risk_factor",
     """SELECT customer_id, main_risk_factor AS exact_text, CASE
-  WHEN customer_service_calls > 2 THEN 'Customer service calls >= 3'
+  WHEN customer_service_calls >= 3 THEN 'Customer service calls >= 3'
   WHEN total_day_charge >= 40 THEN 'High day charge'
   WHEN voice_mail_plan = 'no' THEN 'No voice mail plan'
   ELSE 'Stable customer profile' END AS padded_text, main_risk_factor AS trimmed_text FROM scored""",

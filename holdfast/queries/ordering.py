@@ -41,7 +41,7 @@ def w05_kept(t: Tables):
     "w06_id_backfill",
     """SELECT customer_id, CAST(CASE WHEN voice_mail_plan <> 'Yes' THEN id
     ELSE max(CASE WHEN voice_mail_plan <> 'Yes' THEN id END) OVER ()
-      + row_number() OVER (PARTITION BY voice_mail_plan ORDER BY customer_id) END AS INTEGER) AS id FROM raw""",
+      + row_number() OVER (PARTITION BY voice_mail_plan ORDER BY customer_id) END AS BIGINT) AS id FROM raw""",
 )
 def w06(t: Tables):
     gaps = t.customers.select("customer_id", F.when(F.col("voice_mail_plan") != "Yes", F.col("id")).alias("id"))

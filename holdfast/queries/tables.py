@@ -99,7 +99,7 @@ def derive_customers(customer: DataFrame, orders: DataFrame, nation: DataFrame)
             (F.col(f"{part}_c") / 100).alias(f"total_{part}_charge"),
         ]
     return usage.select(
-        (k + 1).cast("int").alias("id"),
+        (k + 1).cast("bigint").alias("id"),
         F.format_string("C%05d", k + 1).alias("customer_id"),
         F.lit(None).cast("string").alias("dataset_split"),
         F.col("n_name").alias("state"),

@@ -14,7 +14,7 @@ for _part in ("day", "eve", "night", "intl"):
 
 CUSTOMERS = T.StructType(
     [
-        T.StructField("id", T.IntegerType()),
+        T.StructField("id", T.LongType()),
         T.StructField("customer_id", T.StringType()),
         T.StructField("dataset_split", T.StringType()),
         T.StructField("state", T.StringType()),

@@ -78,3 +78,24 @@ def test_last_synthetic_number(spark):
 def test_split_counts(spark):
     df = spark.range(10).withColumn("dataset_split", F.when(F.col("id") < 4, "train").otherwise("test"))
     assert {r[0]: r[1] for r in numbering.split_counts(df).collect()} == {"train": 4, "test": 6}
+
+
+def test_ids_beyond_32_bits_are_split_and_filled(spark):
+    big = 2**40
+    rows = spark.createDataFrame([(big + i,) for i in range(100)], "id bigint")
+    found = {r["id"] - big: r["dataset_split"] for r in numbering.ordered_split(rows).collect()}
+    assert [found[i] for i in (0, 59, 60, 74, 75, 89, 90, 99)] == [
+        "train", "train", "validation", "validation", "test", "test", "scoring_batch", "scoring_batch"
+    ]
+    gaps = spark.createDataFrame([(big, "a"), (None, "b")], "id bigint, customer_id string")
+    assert {r["id"] for r in numbering.backfill_ids(gaps, ["customer_id"]).collect()} == {big, big + 1}
+
+
+def test_rows_without_a_key_rank_last(spark):
+    """80 of 100 rows have a key: the limit at rank 90 lies among those without."""
+    rows = spark.createDataFrame([(i if i < 80 else None,) for i in range(100)], "id bigint")
+    found = [(r["id"], r["dataset_split"]) for r in numbering.ordered_split(rows).collect()]
+    counts = {}
+    for key, split in found:
+        counts[key is None, split] = counts.get((key is None, split), 0) + 1
+    assert counts == {(False, "train"): 60, (False, "validation"): 15, (False, "test"): 5, (True, "scoring_batch"): 20}
