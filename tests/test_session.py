@@ -35,6 +35,8 @@ def test_folder_set_on_the_context_is_used():
 def test_only_local_sessions_may_go_without(tmp_path, monkeypatch):
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_root(FakeSession(None, None, "yarn"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_root(FakeSession(None, None, "local-cluster[2,1,1024]"))
     monkeypatch.setattr(session.tempfile, "mkdtemp", lambda prefix: str(tmp_path))
     assert session.checkpoint_root(FakeSession(None, None, "local[2]")) == str(tmp_path)
 
