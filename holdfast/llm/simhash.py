@@ -83,18 +83,22 @@ def _hamming_tables() -> tuple[list[int], np.ndarray]:
 
 
 def anchors(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of 31-bit values: index of the value, anchor, and whether it is the home; all anchors within distance 2."""
+    """Of 31-bit values: index of the value, anchor, and the bits between them; all anchors within distance 2."""
     masks, flips = _hamming_tables()
     syndrome = np.zeros(len(values), dtype=np.int64)
     for b, mask in enumerate(masks):
         syndrome |= (np.bitwise_count(values & mask) & 1).astype(np.int64) << b
-    words = values[:, None] ^ flips[syndrome]
+    bits = flips[syndrome]
+    words = values[:, None] ^ bits
     valid = np.ones(words.shape, dtype=bool)
     valid[syndrome == 0, 1:] = False
-    home = np.zeros(words.shape, dtype=bool)
-    home[:, 0] = True
     which = np.repeat(np.arange(len(values)), 16).reshape(words.shape)
-    return which[valid], words[valid], home[valid]
+    return which[valid], words[valid], bits[valid]
+
+
+def at_home(bits: np.ndarray) -> np.ndarray:
+    """Whether a value is at its home: no other anchor is within radius 1."""
+    return np.bitwise_count(bits) <= 1
 
 
 def replicate(parts: list[np.ndarray], nodes: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
@@ -106,13 +110,13 @@ def replicate(parts: list[np.ndarray], nodes: np.ndarray, codes: np.ndarray) ->
             pa.array(np.concatenate([f[1] | np.int64(k) << 31 for k, f in enumerate(found)])),
             pa.array(nodes[which]),
             pa.array(codes[which]),
-            pa.array(np.concatenate([f[2] for f in found])),
+            pa.array(np.concatenate([f[2] for f in found]).astype(np.int32)),
         ],
-        names=["anchor", "node", "code", "home"],
+        names=["anchor", "node", "code", "bits"],
     )
 
 
-REPLICA = "anchor long, node long, code long, home boolean"
+REPLICA = "anchor long, node long, code long, bits int"
 
 
 def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,15 +159,16 @@ def group_links(nodes: np.ndarray, codes: np.ndarray, threshold: int) -> tuple[n
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def whole_group(nodes, codes, home, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a large group; being at home does not matter where all are compared."""
+def whole_group(nodes, codes, bits, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a large group, whatever lies between its nodes and the anchor."""
     return group_links(nodes, codes, threshold)
 
 
 def compared(batches: Iterator[pa.RecordBatch], threshold: int, large=whole_group) -> Iterator[pa.RecordBatch]:
     """Links of rows sorted by anchor. Each side of a link found in a small group is at the other's home."""
 
-    def links(anchor, node, code, home):
+    def links(anchor, node, code, bits):
+        home = at_home(bits)
         starts = np.concatenate(([0], np.flatnonzero(np.diff(anchor)) + 1, [len(anchor)]))
         sizes = np.diff(starts)
         left, right = [], []
@@ -178,7 +183,7 @@ def compared(batches: Iterator[pa.RecordBatch], threshold: int, large=whole_grou
             right.append(node[same + shift])
         for g in np.flatnonzero(sizes > SMALL_GROUP):
             own = slice(starts[g], starts[g + 1])
-            a, b = large(node[own], code[own], home[own], threshold)
+            a, b = large(node[own], code[own], bits[own], threshold)
             left.append(a)
             right.append(b)
         if not left:

@@ -96,10 +96,12 @@ def test_large_group_around_one_text(spark):
 
 def test_every_node_goes_to_one_middle_near_it():
     rng = np.random.default_rng(1)
-    codes, home = rng.integers(0, 1 << 62, 300), rng.random(300) < 0.5
-    a, b = nc.middle_links(np.arange(300), codes, home, 24)
+    codes, bits = rng.integers(0, 1 << 62, 300), 1 << rng.integers(0, 3, 300) | (rng.random(300) < 0.5)
+    home = nc.at_home(bits)
+    a, b = nc.middle_links(np.arange(300), codes, bits, 24)
     assert len(set(b.tolist())) == len(b) and not set(a.tolist()) & set(b.tolist())
     assert home[a].all() and (_distance(codes[a], codes[b]) <= 24).all()
+    assert (np.bitwise_count(bits[a] ^ bits[b]) <= 1).all()
     for k in set(range(300)) - set(a.tolist()) - set(b.tolist()):
-        near = np.flatnonzero((_distance(codes, codes[k : k + 1]) <= 24) & home)
+        near = np.flatnonzero((_distance(codes, codes[k : k + 1]) <= 24) & home & (np.bitwise_count(bits ^ bits[k]) <= 1))
         assert set(near.tolist()) <= {k, *b.tolist()}

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from holdfast.llm.simhash import anchors, fingerprint, group_links, simhash_classes, tree_links
+from holdfast.llm.simhash import anchors, at_home, fingerprint, group_links, simhash_classes, tree_links
 from tests.conftest import SF_DIR
 
 
@@ -69,13 +69,14 @@ def test_chain_of_close_prints_is_one_component(spark):
 def test_anchors_are_code_words_that_cover_every_value():
     rng = np.random.default_rng(1)
     values = rng.integers(0, 1 << 31, 500)
-    which, words, home = anchors(values)
+    which, words, bits = anchors(values)
+    home = at_home(bits)
     near = np.bitwise_count(values[which] ^ words)
     assert near.max() <= 2 and near[home].max() <= 1 and home.sum() == len(values)
     own = {(int(w), int(a)) for w, a in zip(which, words)}
     for k, flip in enumerate(rng.integers(0, 31, 500)):
-        other_which, other_words, other_home = anchors(np.array([values[k] ^ (1 << int(flip))]))
-        assert (k, int(other_words[other_home][0])) in own
+        _, other_words, other_bits = anchors(np.array([values[k] ^ (1 << int(flip))]))
+        assert (k, int(other_words[at_home(other_bits)][0])) in own
 
 
 def test_large_groups_lose_no_link():
