@@ -3,7 +3,8 @@
 Three kinds of evidence give the posterior of a row's language:
 
 * text: naive Bayes over hashed letter trigrams, counted per declared language over all rows. Trigrams
-  of one text depend on each other, so a text counts as ``TEXT_WEIGHT`` trigrams at most;
+  of one text depend on each other, so a text counts as ``TEXT_WEIGHT`` trigrams at most, and some are
+  foreign to any language, so each language has a ``FOREIGN`` share of all trigrams;
 * declared language (of the markup or the metadata): how often rows whose text looks like one
   language declare another, smoothed;
 * address: the prior of the host, smoothed towards that of its domain, that towards that of its
@@ -38,6 +39,8 @@ from holdfast.llm.words import slices
 MOST_LANGUAGES = 64
 BUCKET_BITS = 14
 TEXT_WEIGHT = 200
+# Share of a text's trigrams that may be foreign to its language: names, keys, addresses.
+FOREIGN = 0.2
 # Weight of the wider level, in rows, when a narrower one is smoothed.
 SMOOTHING = 10.0
 LEAST_PROBABILITY = 0.5
@@ -110,7 +113,9 @@ def trigram_table(evidence: DataFrame, languages: Sequence[str]) -> np.ndarray:
     )
     counts = np.full((len(names) + 1, 1 << BUCKET_BITS), 0.5)
     counts[rows["language"], rows["bucket"]] += rows["n"]
-    return np.log(counts / counts.sum(axis=1, keepdims=True))
+    shares = counts / counts.sum(axis=1, keepdims=True)
+    shares[:-1] = (1 - FOREIGN) * shares[:-1] + FOREIGN / (1 << BUCKET_BITS)
+    return np.log(shares)
 
 
 # ---- evidence

@@ -29,10 +29,12 @@ def test_evidence_is_fused(spark):
         (1003, "123 456", "en", None, 1, "x"),
         (1004, "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(300)), "en", "a.example.org", 1, "x"),
         (None, text(rng, "en"), "EN-us", "", 1, "x"),
+        (1005, "they have QXZV7KJW9PLMNBX2QWZR not", "en", "a.example.org", 1, "x"),  # a key in a short text
     ]
     found = {r.doc_id: (r.language, r.kept) for r in li.identify(li.document_evidence(rows_of(spark, rows))).collect()}
     assert all(found[k] == (("en" if k % 3 else "de"), True) for k in range(300))
     assert found[1000] == ("de", True) and found[1001] == ("de", True) and found[None] == ("en", True)
+    assert found[1005] == ("en", True)
     assert found[1002] == found[1003] == found[1004] == ("und", False)
     kept = li.keep_identified(rows_of(spark, rows))
     assert kept.columns == ["doc_id", "text", "lang", "source", "look", "logs"] and kept.count() == len(rows) - 3
