@@ -105,3 +105,54 @@ def test_every_node_goes_to_one_middle_near_it():
     for k in set(range(300)) - set(a.tolist()) - set(b.tolist()):
         near = np.flatnonzero((_distance(codes, codes[k : k + 1]) <= 24) & home & (np.bitwise_count(bits ^ bits[k]) <= 1))
         assert set(near.tolist()) <= {k, *b.tolist()}
+
+
+def chosen_as_by_all_pairs(spark, rows):
+    """Exactly the documents stay that all true links leave: one of each component, with the least id."""
+    least = list(range(len(rows)))
+
+    def root(k):
+        while least[k] != k:
+            k = least[k]
+        return k
+
+    for a, b in brute_links(rows):
+        a, b = sorted((root(a), root(b)))
+        least[b] = a
+    expected = [i for k, (i, _) in enumerate(rows) if root(k) == k]
+    assert len(expected) < len(rows)
+    assert sorted(r.doc_id for r in nc.without_near_copies(documents(spark, rows)).collect()) == expected
+
+
+def test_copies_inside_a_family_on_one_template(spark):
+    """Texts that are just too far from their template and from each other, each with a copy."""
+    rng = random.Random(12)
+    template = [f"t{i}" for i in range(200)]
+    rows = []
+    for base in range(300):
+        own = list(template)
+        for place in rng.sample(range(5, 195), 5):
+            own[place] = f"own{base}x{place}"
+        copy = list(own)
+        for place in rng.sample(range(5, 195), 3):
+            copy[place] = f"copy{base}x{place}"
+        rows += [(2 * base, " ".join(own)), (2 * base + 1, " ".join(copy))]
+    chosen_as_by_all_pairs(spark, rows)
+
+
+def test_blocks_of_hot_groups_meet(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(13)
+    template = [f"t{i}" for i in range(60)]
+    rows = []
+    for k in range(150):
+        own = list(template)
+        own[rng.randrange(60)] = f"own{k}"
+        rows.append((k, " ".join(own)))
+    texts = nc.keyed(documents(spark, rows))
+    nodes = texts.select("row_id", "row_text", F.col("row_id").alias("node"), F.col("row_id").alias("class"), F.lit(56).alias("shingles"))
+    expected = {(a, b) for a, b in brute_links(rows)}
+    for hot in (10, 4096):
+        found = nc.links_between(nodes, texts.drop("doc_id"), 5, 0.8, hot).collect()
+        assert {(r.a, r.b) for r in found} == expected
