@@ -156,3 +156,24 @@ def test_blocks_of_hot_groups_meet(spark):
     for hot in (10, 4096):
         found = nc.links_between(nodes, texts.drop("doc_id"), 5, 0.8, hot).collect()
         assert {(r.a, r.b) for r in found} == expected
+
+
+def test_short_texts(spark):
+    """Texts of 8 to 20 words and one word more: fingerprints of so few words are far apart."""
+    rng = random.Random(14)
+    rows = []
+    for k in range(300):
+        own = [f"s{rng.randrange(50_000)}" for _ in range(8 + k % 13)]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join([*own, f"more{k}"]))]
+    chosen_as_by_all_pairs(spark, rows)
+
+
+def test_long_texts_of_few_words(spark):
+    """Long texts whose words repeat, edited with new words: their sets of words differ more than the texts."""
+    rng = random.Random(15)
+    rows = []
+    for k in range(16):
+        vocabulary = [f"l{k}x{i}" for i in range(300)]
+        own = [rng.choice(vocabulary) for _ in range(5000)]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, edited(rng, " ".join(own), 80 + 10 * (k % 4)))]
+    chosen_as_by_all_pairs(spark, rows)
