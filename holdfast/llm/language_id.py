@@ -15,9 +15,10 @@ Three kinds of evidence give the posterior of a row's language:
 rejected if ``und`` is the best, if the best has a posterior under ``LEAST_PROBABILITY``, or if its
 text has no letters, as addresses alone prove nothing about a text.
 
-The languages are those most often declared, ``MOST_LANGUAGES`` at most; other declarations count as
-one kind, "other". All tables are counts of languages: per trigram they are bounded and sent to the
-tasks, per host they are joined, narrow and without the text.
+The languages are all that are declared, by however few rows. They are scored in blocks of
+``LANGUAGE_BLOCK``: the trigram table of one block at a time is sent to the tasks, which bounds it, and
+texts are written once more for each further block. Counts per host and per declaration are maps of
+the languages that occur; they are joined, narrow and without the text.
 
 Defined results: null and empty texts have no letters; null or empty declarations and hosts are a kind
 of their own; on equal posteriors the language first in the alphabet wins; a table in which nothing is
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from holdfast.llm.tables import KEYS, fresh, lower_ascii, plain_text, read_table, row_keys, saved
 from holdfast.llm.words import slices
 
-MOST_LANGUAGES = 64
+LANGUAGE_BLOCK = 256
 BUCKET_BITS = 14
 TEXT_WEIGHT = 200
 # Share of a text's trigrams that may be foreign to its language: names, keys, addresses.
@@ -79,16 +80,25 @@ def _counted(batches: Iterator[pa.RecordBatch], languages: list[str]) -> Iterato
     )
 
 
-def _likelihoods(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Per row the number of trigrams and the tempered log-likelihood of each hypothesis."""
+def _likelihoods(batches: Iterator[pa.RecordBatch], table: np.ndarray, last: bool = True) -> Iterator[pa.RecordBatch]:
+    """Per row the number of trigrams and the tempered log-likelihoods, after those of earlier blocks.
+
+    The text and the likelihood of ``und``, the last row of ``table``, are for the other and the last block.
+    """
+    if not last:
+        table = table[:-1]
     for batch, texts in slices(batches):
         bucket, text = trigrams(texts)
         n = np.bincount(text, minlength=len(texts))
         weight = np.minimum(1.0, TEXT_WEIGHT / np.maximum(n, 1))
         logs = np.stack([np.bincount(text, weights=row[bucket], minlength=len(texts)) * weight for row in table], axis=1)
+        if "logs" in batch.schema.names:
+            earlier = batch.column(batch.schema.get_field_index("logs")).flatten().to_numpy().reshape(len(texts), -1)
+            logs = np.concatenate([earlier, logs], axis=1)
         flat = pa.array(logs.ravel())
         offsets = pa.array(np.arange(0, logs.size + 1, logs.shape[1], dtype=np.int32))
-        kept = [i for i, f in enumerate(batch.schema.names) if f != "text"]
+        dropped = ("text", "trigrams", "logs") if last else ("trigrams", "logs")
+        kept = [i for i, f in enumerate(batch.schema.names) if f not in dropped]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(i) for i in kept), pa.array(n, pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
             names=[*(batch.schema.names[i] for i in kept), "trigrams", "logs"],
@@ -96,9 +106,8 @@ def _likelihoods(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterat
 
 
 def declared_languages(evidence: DataFrame) -> list[str]:
-    """The languages most often declared, in alphabetical order."""
-    found = evidence.filter("declared != ''").groupBy("declared").count()
-    return sorted(r["declared"] for r in found.orderBy(F.desc("count"), "declared").limit(MOST_LANGUAGES).collect())
+    """All declared languages, in alphabetical order. Tags of two or three letters bound their number."""
+    return sorted(r["declared"] for r in evidence.filter("declared != ''").select("declared").distinct().collect())
 
 
 def trigram_table(evidence: DataFrame, languages: Sequence[str]) -> np.ndarray:
@@ -160,33 +169,37 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 # ---- fusion
 
 
-def _counts_by(rows: DataFrame, size: int, *keys: str) -> DataFrame:
-    """Rows per language of the text, as an array, by the given keys."""
-    return rows.groupBy(*keys).agg(
-        F.array(*(F.sum(F.when(F.col("look") == k, 1).otherwise(0)) for k in range(size))).alias("n")
+def _counts_by(counts: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows per language of the text, as a map, by ``key``. Rows of no language count for none."""
+    seen = F.when(F.col("look") >= 0, F.struct("look", "n"))
+    return (
+        counts.groupBy(key, "look")
+        .agg(F.sum("n").alias("n"))
+        .groupBy(key)
+        .agg(F.map_from_entries(F.collect_list(seen)).alias(name))
     )
 
 
-def host_counts(rows: DataFrame, size: int) -> DataFrame:
+def host_counts(rows: DataFrame) -> DataFrame:
     """``host`` with the counts ``by_host``, ``by_domain``, ``by_suffix`` and ``by_all``."""
-    hosts = _counts_by(rows, size, "host").withColumnRenamed("n", "by_host")
     dotted = F.col("host").contains(".")
-    hosts = saved(
-        hosts.withColumn("domain", F.when(dotted, F.substring_index("host", ".", -2)).otherwise(F.col("host"))).withColumn(
-            "suffix", F.when(dotted, F.substring_index("host", ".", -1)).otherwise("")
-        )
+    counts = saved(
+        rows.groupBy("host", "look")
+        .agg(F.count("*").alias("n"))
+        .withColumn("domain", F.when(dotted, F.substring_index("host", ".", -2)).otherwise(F.col("host")))
+        .withColumn("suffix", F.when(dotted, F.substring_index("host", ".", -1)).otherwise(""))
+        .withColumn("everything", F.lit(0))
     )
+    hosts = counts.select("host", "domain", "suffix", "everything").distinct()
+    for key, name in (("host", "by_host"), ("domain", "by_domain"), ("suffix", "by_suffix"), ("everything", "by_all")):
+        hosts = hosts.join(saved(_counts_by(counts, key, name)), key)
+    return saved(hosts.select("host", "by_host", "by_domain", "by_suffix", "by_all"))
 
-    def level(key: str, name: str) -> DataFrame:
-        sums = F.array(*(F.sum(F.get("by_host", F.lit(k))) for k in range(size)))
-        return saved(hosts.groupBy(key).agg(sums.alias(name)))
 
-    everything = hosts.agg(F.array(*(F.sum(F.get("by_host", F.lit(k))) for k in range(size)))).first()[0]
-    total = F.array(*(F.lit(int(n or 0)).cast("long") for n in everything))
-    return saved(
-        hosts.join(level("domain", "by_domain"), "domain")
-        .join(level("suffix", "by_suffix"), "suffix")
-        .select("host", "by_host", "by_domain", "by_suffix", total.alias("by_all"))
+def _dense(counts: str, size: int) -> Column:
+    """A map of counts as an array over all languages."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.try_element_at(F.col(counts), k), F.lit(0)).cast("double")
     )
 
 
@@ -194,7 +207,7 @@ def _prior(size: int) -> Column:
     """Smoothed prior of each hypothesis for a row, without the row itself."""
 
     def without(counts: str) -> Column:
-        return F.transform(counts, lambda n, k: F.when(k == F.col("look"), n - 1).otherwise(n).cast("double"))
+        return F.transform(_dense(counts, size), lambda n, k: F.when(k == F.col("look"), n - 1).otherwise(n))
 
     def total(counts: Column) -> Column:
         return F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)
@@ -203,34 +216,33 @@ def _prior(size: int) -> Column:
         weight = total(counts) + SMOOTHING
         return F.zip_with(counts, wider, lambda n, p: (n + SMOOTHING * p) / weight)
 
-    prior = F.array(*(F.lit(1.0 / size) for _ in range(size)))
+    prior = F.array_repeat(F.lit(1.0 / size), size)
     for counts in ("by_all", "by_suffix", "by_domain", "by_host"):
         prior = smoothed(without(counts), prior)
     return prior
 
 
-def declared_given(rows: DataFrame, languages: Sequence[str]) -> Column:
+def declaration_counts(rows: DataFrame, size: int) -> tuple[DataFrame, list[float]]:
+    """``declared`` with ``by_declared``, rows per language of the text; and the smoothed total of each language."""
+    counts = saved(rows.filter("declared != ''").groupBy("declared", "look").agg(F.count("*").alias("n")))
+    # A declaration that no row has is one kind more.
+    totals = [float(size + 1)] * size
+    for r in counts.filter("look >= 0").groupBy("look").agg(F.sum("n").alias("n")).collect():
+        totals[r["look"]] += r["n"]
+    return saved(_counts_by(counts, "declared", "by_declared")), totals
+
+
+def declared_given(totals: Sequence[float]) -> Column:
     """Log-probability of the row's declaration under each language; what is not declared says nothing."""
-    size, kinds = len(languages), [*languages, "other"]
-    found = rows.filter("declared != ''").groupBy("look", "kind_declared").count().collect()
-    table = {(r["look"], r["kind_declared"]): r["count"] for r in found}
-    logs = []
-    for kind in kinds:
-        own = []
-        for k in range(size):
-            whole = sum(table.get((k, other), 0) for other in kinds)
-            own.append(float(np.log((table.get((k, kind), 0) + 1) / (whole + len(kinds)))))
-        logs.append((kind, own))
-    column = F.array(*(F.lit(0.0) for _ in range(size)))
-    for kind, own in logs:
-        column = F.when(F.col("kind_declared") == kind, F.array(*(F.lit(v) for v in own))).otherwise(column)
-    return F.when(F.col("declared") == "", F.array(*(F.lit(0.0) for _ in range(size)))).otherwise(column)
+    whole = F.array(*(F.lit(t) for t in totals))
+    logs = F.zip_with(_dense("by_declared", len(totals)), whole, lambda n, t: F.log((n + 1) / t))
+    return F.when(F.col("declared") == "", F.array_repeat(F.lit(0.0), len(totals))).otherwise(logs)
 
 
 IDENTIFIED = ("row_id", "row_text", "kind", "doc_id", "page_id", "declared", "host", "language", "probability", "kept")
 
 
-def identify(evidence: DataFrame) -> DataFrame:
+def identify(evidence: DataFrame, block: int = LANGUAGE_BLOCK) -> DataFrame:
     """A row per row of ``evidence``: its keys, ``declared``, ``host``, ``language``, ``probability``, ``kept``."""
     languages = declared_languages(evidence)
     size = len(languages)
@@ -238,26 +250,24 @@ def identify(evidence: DataFrame) -> DataFrame:
         return evidence.drop("text").select(
             *IDENTIFIED[:7], F.lit(UNKNOWN).alias("language"), F.lit(1.0).alias("probability"), F.lit(False).alias("kept")
         )
-    table = trigram_table(evidence, languages)
     names = [c for c in evidence.columns if c != "text"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in evidence.schema if f.name != "text")
-    texts = saved(
-        evidence.select(*names, "text").mapInArrow(
-            lambda b: _likelihoods(b, table), f"{schema}, trigrams long, logs array<double>"
-        )
-    )
+    texts = evidence.select(*names, "text")
+    for start in range(0, size, block):
+        table, last = trigram_table(evidence, languages[start : start + block]), start + block >= size
+        found = f"{schema}, {'' if last else 'text string, '}trigrams long, logs array<double>"
+        texts = saved(texts.mapInArrow(lambda b, table=table, last=last: _likelihoods(b, table, last), found))
     known = F.slice("logs", 1, size)
     rows = texts.withColumn(
         # Without letters every language is as likely; such rows count for none.
         "look", F.when(F.col("trigrams") > 0, (F.array_position(known, F.array_max(known)) - 1).cast("int")).otherwise(-1)
-    ).withColumn(
-        "kind_declared", F.when(F.col("declared").isin(*languages), F.col("declared")).otherwise("other")
     )
     priors = _prior(size)
-    logs = F.zip_with(known, F.zip_with(priors, declared_given(rows, languages), lambda p, d: F.log(p) + d), lambda a, b: a + b)
+    declarations, totals = declaration_counts(rows, size)
+    logs = F.zip_with(known, F.zip_with(priors, declared_given(totals), lambda p, d: F.log(p) + d), lambda a, b: a + b)
     # ``und`` comes last: where it is level with a language, the language wins.
     all_logs = F.concat(logs, F.array(F.get("logs", F.lit(size)) + float(np.log(UNKNOWN_PRIOR))))
-    judged = rows.join(host_counts(rows, size), "host").withColumn("posterior", all_logs)
+    judged = rows.join(host_counts(rows), "host").join(declarations, "declared", "left").withColumn("posterior", all_logs)
     best = F.array_max("posterior")
     whole = F.aggregate("posterior", F.lit(0.0), lambda a, x: a + F.exp(x - best))
     hypotheses = F.array(*(F.lit(x) for x in [*languages, UNKNOWN]))

@@ -80,3 +80,27 @@ def test_held_out_accuracy(spark):
     found = {r.doc_id: r.language for r in li.identify(li.document_evidence(hidden)).collect()}
     wanted = [(r.doc_id, r.lang) for r in docs.collect() if r.doc_id % 5 == 0]
     assert sum(found[i] == lang for i, lang in wanted) / len(wanted) >= 0.95
+
+
+def many_languages(rng, languages):
+    """Clean rows of each of many languages, some of them rare, with words of their own."""
+    rows = []
+    for k in range(languages):
+        tag = chr(97 + k // 26) + chr(97 + k % 26)
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)]
+        for _ in range(3 if k % 10 else 5):
+            rows.append((len(rows), " ".join(rng.choice(own) for _ in range(40)), tag, "a.example.org", 1, "x"))
+    return rows
+
+
+def test_every_declared_language_is_known(spark):
+    rows = many_languages(random.Random(3), 80)
+    found = li.identify(li.document_evidence(rows_of(spark, rows))).collect()
+    assert {(r.doc_id, r.language, r.kept) for r in found} == {(i, tag, True) for i, _, tag, *_ in rows}
+
+
+def test_blocks_of_languages_give_the_same(spark):
+    rows = many_languages(random.Random(4), 25)
+    evidence = li.document_evidence(rows_of(spark, rows))
+    one, three = ({(r.doc_id, r.language, r.probability) for r in li.identify(evidence, b).collect()} for b in (256, 10))
+    assert one == three and len(one) == len(rows)
