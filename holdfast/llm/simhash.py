@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm.components import components
-from holdfast.llm.tables import keyed, read_table, saved
+from holdfast.llm.tables import KEYS, fresh, keyed, read_table, row_keys, saved
 from holdfast.llm.words import encoded
 
 SHINGLE = 3
@@ -64,8 +64,9 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = np.array([fingerprint(t, size) for t in encoded(batch.column(1))], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "code"])
+        *others, texts = batch.columns
+        values = np.array([fingerprint(t, size) for t in encoded(texts)], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([*others, pa.array(values.view(np.int64))], names=[*batch.schema.names[:-1], "code"])
 
 
 # ---- anchors
@@ -241,5 +242,35 @@ def simhash_classes(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     )
 
 
+def without_near_copies(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """``docs`` with one document of each component: that of the least id, null ids last.
+
+    Rows with equal id and equal text are one document.
+    """
+    names = [fresh(docs, k) for k in KEYS]
+    renamed = [F.col(k).alias(n) for k, n in zip(KEYS, names)]
+    prints = saved(
+        keyed(docs)
+        .select(*KEYS, "doc_id", "text")
+        .mapInArrow(lambda b: _fingerprints(b, size), "row_id long, row_text long, doc_id long, code long")
+    )
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_text", "row_id")
+    codes = saved(prints.groupBy("code").agg(F.min(order).alias("least")))
+    roots = saved(
+        codes.join(fingerprint_components(codes, threshold), F.col("code") == F.col("node"), "left").select(
+            "code", "least", F.coalesce("root", "code").alias("root")
+        )
+    )
+    stay = saved(roots.join(roots.groupBy("root").agg(F.min("least").alias("stay")), "root").select("code", "stay"))
+    stays = (F.col("row_id") == F.col("stay.row_id")) & (F.col("row_text") == F.col("stay.row_text"))
+    found = saved(prints.join(stay, "code").select(*KEYS, stays.alias("stays")))
+    gone = found.filter("NOT stays").select(*renamed).distinct()
+    repeated = found.filter("stays").groupBy(*KEYS).count().filter("count > 1").select(*renamed)
+    kept = saved(docs.withColumns(dict(zip(names, row_keys()))).join(gone, names, "left_anti"))
+    once = kept.join(repeated, names, "left_anti")
+    first = kept.join(repeated, names, "left_semi").dropDuplicates(names)
+    return once.unionByName(first).drop(*names)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(read_table(spark, sf_dir, "documents"))

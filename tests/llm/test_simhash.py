@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from holdfast.llm.simhash import anchors, at_home, fingerprint, group_links, simhash_classes, tree_links
+from holdfast.llm.simhash import anchors, at_home, fingerprint, group_links, simhash_classes, tree_links, without_near_copies
 from tests.conftest import SF_DIR
+from tests.llm.helpers import EDGES, documents
 
 
 def brute_print(text: str | None, size: int = 3) -> int:
@@ -109,3 +110,41 @@ def test_large_groups_lose_no_link():
 @pytest.mark.parametrize("text", ["", "a", "a b", "a b c", "a b c a b c", "Ä Ö ü\x0bX"])
 def test_fingerprint(text):
     assert fingerprint(text.encode()) == brute_print(text)
+
+
+def brute_stay(rows):
+    """Ids and texts that stay: of every component that of the least id, null ids last."""
+    distinct = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    prints = [brute_print(t) for _, t in distinct]
+    root = list(range(len(distinct)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(distinct)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 2:
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    return [distinct[k] for k in range(len(distinct)) if find(k) == k]
+
+
+def test_one_document_of_each_component_stays(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    found = without_near_copies(docs)
+    assert found.columns == docs.columns
+    expected = brute_stay([(r.doc_id, r.text) for r in docs.collect()])
+    assert len(expected) < docs.count()
+    assert sorted(r.doc_id for r in found.collect()) == [i for i, _ in expected]
+
+
+@pytest.mark.parametrize("clashing", [False, True])
+def test_stage_edges(spark, clashing):
+    df = documents(spark, EDGES, clashing)
+    found = without_near_copies(df)
+    assert found.columns == df.columns
+    # Empty texts are copies of each other, and so are the texts "one".
+    assert sorted((r.doc_id for r in found.collect()), key=repr) == sorted((i for i, _ in brute_stay(EDGES)), key=repr)
+    assert without_near_copies(df.limit(0)).collect() == []
