@@ -2,16 +2,16 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet below
 the checkpoint folder and read again as the next stage's documents. All but the last return the columns
-of documents: language ID rejects texts in no known language, line dedup takes common lines out, near
-copies leave one document of each group, decontamination drops documents with a benchmark item,
-and packing returns the pieces of the training sequences.
+of documents: language ID rejects texts in no known language, line dedup takes common lines out,
+SimHash leaves one document of each component of close fingerprints, decontamination drops documents
+with a benchmark item, and packing returns the pieces of the training sequences.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import decontaminate, language_id, line_dedup, near_copies, packing
+from holdfast.llm import decontaminate, language_id, line_dedup, packing, simhash
 from holdfast.llm.tables import read_table, saved
 
 
@@ -24,7 +24,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.without_near_copies(docs)
+    return simhash.without_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
