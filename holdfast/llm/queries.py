@@ -13,6 +13,7 @@ from holdfast.llm.fill_middle import OP11_SQL, op11_fill_middle
 from holdfast.llm.language_id import op4_language_id
 from holdfast.llm.line_dedup import OP9_SQL, op9_line_dedup
 from holdfast.llm.lm_scoring import op5_lm_scoring
+from holdfast.llm.minhash_forest import op12_minhash_forest
 from holdfast.llm.packing import op10_packing
 from holdfast.llm.simhash import op8_simhash
 from holdfast.llm.substring_dedup import OP3_SQL, op3_substring_dedup
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
     "op11_fill_middle": op11_fill_middle,
+    "op12_minhash_forest": op12_minhash_forest,
     "op13_token_alignment": op13_token_alignment,
 }
 
