@@ -45,8 +45,9 @@ SHINGLE, PERCENT = 4, 80
 VALUES, TREES, DEPTH = 64, 16, 8
 REGION, AGREE = 2048, 32
 BLOCK_SHINGLES = 1 << 20
-# The order of shingles for the prefix filter: counts in hashed buckets. Any order gives the same links.
-ORDER_BITS = 20
+# The order of shingles for the prefix filter: counts in hashed buckets over a sample of nodes with about so
+# many shingles. Any order gives the same links; a good one keeps frequent shingles out of the prefixes.
+ORDER_BITS, ORDER_SAMPLE, ORDER_LEAST = 20, 1 << 22, 16
 HOT_TOKEN = 4096
 _MOST_PAIRS = 1 << 20
 
@@ -275,10 +276,13 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def shingle_order(sets: DataFrame) -> np.ndarray:
-    """Counts per bucket, by which shingles are ordered."""
-    rows = sets.select("names").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    """Counts per bucket, by which shingles are ordered; buckets seldom seen count as zero."""
+    total = sets.agg(F.sum("shingles")).first()[0] or 0
+    sample = sets.filter(F.pmod(F.xxhash64("node"), F.lit(max(1, -(-total // ORDER_SAMPLE)))) == 0)
+    counts = sample.select("names").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     order = np.zeros(1 << ORDER_BITS, dtype=np.int32)
-    order[rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"].clip(upper=2**31 - 1).to_numpy(dtype=np.int32)
+    for row in counts.filter(F.col("n") >= ORDER_LEAST).collect():
+        order[row["bucket"]] = min(row["n"], 2**31 - 1)
     return order
 
 
@@ -558,7 +562,7 @@ def node_links(
         )
     )
     if not crowds.isEmpty():
-        more = saved(crowd_links(sets.filter("crowd"), nodes, percent, agree, hot))
+        more = saved(crowd_links(sets.filter("crowd").drop("crowd"), nodes, percent, agree, hot))
         edges = saved(edges.union(more).distinct())
         merged = components(edges)
         sets = saved(sets.drop("cluster").join(merged, "node", "left").withColumn("cluster", F.coalesce("root", "node")).drop("root"))
