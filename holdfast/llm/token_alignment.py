@@ -5,6 +5,7 @@ token k + shift of the other ends, groups are one-to-one. Windows of the two arr
 at the present shift, doubled while they agree and halved once they do not, which jumps over such a
 stretch in few comparisons. Where it ends, the irregular group is resolved token by token up to the next
 common end; its tokens that overlap are linked, and the shift changes by what one side has more.
+Windows are compared as bytes, and the lowest bit in which they differ tells where the stretch ends.
 
 How many documents hold a pair of ids linked is counted over the whole table. Documents of a split are
 gathered to *packets* of about ``PACKET_BYTES`` of text. A packet lists its distinct id pairs with the
@@ -12,8 +13,7 @@ number of its documents that hold them: they are summed by pair (a pair that eve
 once per packet), joined with the packets' pairs again, and each packet gets one answer per pair. What
 a task holds is bounded by a packet, or by one document where that is longer.
 
-Texts are encoded once. Neither tokenizer takes a special token's string for the token. A tokens come
-from ``packing.Encoder``; long texts go to both in parts cut at blanks, where no token of either spans.
+Texts are encoded once. Neither tokenizer takes a special token's string for the token.
 
 Defined results: null and empty texts, and texts that the tokens of one side do not give back byte for
 byte, have no tokens: zeros, and an empty ``groups_sha256``; repeated rows and rows with a null id are
@@ -37,81 +37,127 @@ from holdfast.llm.tables import read_table, saved
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k", "piece_bpe_32k"
 PACKET_BYTES = 8 << 20
-# Tokens that are compared at first; texts over so many characters are encoded in parts.
-FIRST_WINDOW, LONG_TEXT = 8, 1 << 20
+# Tokens that are compared at first; words that a task keeps with their ids, and the characters of the longest.
+FIRST_WINDOW, MOST_KNOWN, LONGEST_KNOWN = 16, 1 << 17, 32
 _BLANK = re.compile(r"(?<=[a-z]) (?=[a-z])")
 
 # ---- tokens
 
 
-class TokensA:
-    """Byte-level BPE: ids of blank + text, and the bytes of each id."""
+def _entries_a(encoder: Encoder) -> list[bytes]:
+    """Bytes of each id of the byte-level vocabulary."""
+    entries = [b""] * encoder.exact.get_vocab_size()
+    for i in range(encoder.fast.n_vocab):
+        entries[i] = encoder.fast.decode_single_token_bytes(i)
+    return entries
 
-    def __init__(self, vocabulary: str):
-        self.encoder = Encoder(vocabulary)
-        self.encoder.exact.encode_special_tokens = True
-        fast = self.encoder.fast
-        self.entries = [b""] * self.encoder.exact.get_vocab_size()
-        for i in range(fast.n_vocab):
-            self.entries[i] = fast.decode_single_token_bytes(i)
-        self.lengths = np.array([len(e) for e in self.entries], dtype=np.int64)
 
-    def ids(self, text: str) -> np.ndarray:
-        return self.encoder.ids(" " + text)[:-1].astype(np.int64)
+class Tokens:
+    """Ids of both tokenizers; one per task.
 
+    Neither has a token that goes on behind a blank which stands alone between two words, so a text is
+    encoded word by word, each with the blank before it, and frequent words are encoded once. Texts in
+    which blanks follow each other, or stand at an end, are encoded in longer parts.
+    """
 
-class TokensB:
-    """Pieces with byte fallback: ids of a text, to which the tokenizer adds the blank, and their bytes."""
-
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary_a: str = VOCABULARY_A, vocabulary_b: str = VOCABULARY_B):
         import public_tokenizers
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(f"{vocabulary}.model"))
-        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.entries = [
-            bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
-        ]
-        self.lengths = np.array([len(e) for e in self.entries], dtype=np.int64)
-        # A blank only starts a piece, so a text may be cut before one.
-        self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
-
-    def ids(self, text: str) -> np.ndarray:
-        parts, start = [], 0
-        while self.cuts and len(text) - start > LONG_TEXT and (cut := _BLANK.search(text, start + LONG_TEXT)):
-            parts += self.model.encode(text[start : cut.start()])
-            start = cut.end()  # the blank is the one that is added to the next part
-        return np.array(parts + self.model.encode(text[start:]), dtype=np.int64)
+        self.a = Encoder(vocabulary_a)
+        self.a.exact.encode_special_tokens = True
+        self.b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(f"{vocabulary_b}.model"))
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.entries = (
+            _entries_a(self.a),
+            [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)],
+        )
+        self.lengths = tuple(np.array([len(e) for e in own], dtype=np.int32) for own in self.entries)
+        if any("▁" in p.lstrip("▁") for p in pieces):
+            raise ValueError("a piece goes on behind a blank")
+        # Ids of both sides by word, as bytes: words since the last turn, and those before.
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.older: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def parts(self, words: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of blank + word for each; none where one side does not give the bytes back."""
+        text = " ".join(words)
+        data = b" " + text.encode()
+        last = np.cumsum([len(w) + 1 for w in (words if len(data) == len(text) + 1 else map(str.encode, words))])
+        sides = []
+        for ids, own, lengths in zip((self.a.ids(" " + text)[:-1], self.b.encode(text)), self.entries, self.lengths):
+            ids = np.array(ids, dtype=np.int32)
+            if b"".join(map(own.__getitem__, ids.tolist())) != data:
+                return [None] if len(words) == 1 else [self.parts([w])[0] for w in words]
+            ends = np.searchsorted(np.cumsum(lengths[ids]), last, side="right").tolist()
+            raw = ids.tobytes()
+            sides.append([raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)])
+        return list(zip(*sides))
+
+    def ids(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of both sides; none for empty texts and those whose bytes do not come back."""
+        if not text:
+            return None
+        words = text.split(" ")
+        if "" in words:
+            words = _BLANK.split(text)
+        if len(self.known) > MOST_KNOWN:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = []
+        for word in set(words):
+            if word not in known:
+                if word in older:
+                    known[word] = older[word]
+                else:
+                    new.append(word)
+        own = dict(zip(new, self.parts(new))) if new else {}
+        for word, found in own.items():
+            if len(word) <= LONGEST_KNOWN:
+                known[word] = found
+        found = [known[w] if w in known else own[w] for w in words]
+        if None in found:
+            return None
+        return tuple(np.frombuffer(b"".join([f[k] for f in found]), dtype=np.int32).astype(np.int64) for k in (0, 1))
 
 
 # ---- alignment
 
 
-def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]], list[int], list[int]]:
-    """One-to-one stretches (first token of either side, tokens), the irregular group after each (from and
-    to on either side; the last stretch has none), and the links of irregular groups as two lists of tokens.
+def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One-to-one stretches (first token of either side, tokens), the irregular groups behind them (from
+    and to on either side), and the links of irregular groups (tokens): arrays with a row each.
 
-    Both lists rise and end alike.
+    Both arrays are of 32-bit integers, rise, start above 0 and end alike.
     """
-    stretches, groups, links_a, links_b = [], [], [], []
-    i, j, most = 0, 0, len(ends_a)
-    other = len(ends_b)
+    stretches, groups, links = [], [], []
+    data_a, data_b = ends_a.astype("<i4").tobytes(), ends_b.astype("<i4").tobytes()
+    at_a, at_b = memoryview(data_a).cast("i"), memoryview(data_b).cast("i")
+    number, most = int.from_bytes, len(ends_a)
+    i = j = 0
     while True:
         start, window = i, FIRST_WINDOW
-        while i + window <= most and ends_a[i : i + window] == ends_b[j : j + window]:
-            i, j, window = i + window, j + window, 2 * window
-        while window > 1:
-            window >>= 1
-            if i + window <= most and j + window <= other and ends_a[i : i + window] == ends_b[j : j + window]:
-                i, j = i + window, j + window
-        stretches.append((start, j - (i - start), i - start))
+        while True:
+            one, other = data_a[4 * i : 4 * (i + window)], data_b[4 * j : 4 * (j + window)]
+            if one != other:
+                break
+            n = len(one) >> 2
+            i, j, window = i + n, j + n, 2 * window
+            if i >= most:
+                break
+        if i < most:
+            # The lowest bit that differs tells the first end that does; no end is 0, so it is found beyond the last one too.
+            differs = number(one, "little") ^ number(other, "little")
+            n = ((differs & -differs).bit_length() - 1) >> 5
+            i, j = i + n, j + n
+        if i > start:
+            stretches.append((start, j - (i - start), i - start))
         if i >= most:
-            return stretches, groups, links_a, links_b
+            break
         first, second = i, j
         while True:
-            links_a.append(i)
-            links_b.append(j)
-            here, there = ends_a[i], ends_b[j]
+            links.append((i, j))
+            here, there = at_a[i], at_b[j]
             if here <= there:
                 i += 1
             if there <= here:
@@ -119,53 +165,60 @@ def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int, in
             if here == there:
                 break
         groups.append((first, i, second, j))
+        if i >= most:
+            break
+    return tuple(np.array(x, dtype=np.int64).reshape(-1, n) for x, n in ((stretches, 3), (groups, 4), (links, 2)))
+
 
+class Alignment:
+    """Groups of one document: ``cuts_a`` and ``cuts_b`` have the first token of each, and the end."""
 
-def group_text(ids_a: list[int], ids_b: list[int], stretches: list, groups: list, names: list[str]) -> tuple[str, int]:
-    """Groups as ``a1,a2|b1;a3|b2`` and their number."""
-    a, b = [names[i] for i in ids_a], [names[i] for i in ids_b]
-    found: list[str] = []
-    for k, (i, j, n) in enumerate(stretches):
-        found += map("|".join, zip(a[i : i + n], b[j : j + n]))
-        if k < len(groups):
-            i, last_i, j, last_j = groups[k]
-            found.append(",".join(a[i:last_i]) + "|" + ",".join(b[j:last_j]))
-    return ";".join(found), len(found)
+    def __init__(self, ids_a: np.ndarray, ids_b: np.ndarray, lengths_a: np.ndarray, lengths_b: np.ndarray):
+        self.ids_a, self.ids_b = ids_a, ids_b
+        stretches, groups, links = align(np.cumsum(lengths_a[ids_a]), np.cumsum(lengths_b[ids_b]))
+        n = stretches[:, 2]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        one, other = (np.repeat(stretches[:, k], n) + step for k in (0, 1))
+        self.cuts_a = np.concatenate([np.sort(np.concatenate([one, groups[:, 0]])), [len(ids_a)]])
+        self.cuts_b = np.concatenate([np.sort(np.concatenate([other, groups[:, 2]])), [len(ids_b)]])
+        self.links_a = ids_a[np.concatenate([one, links[:, 0]])]
+        self.links_b = ids_b[np.concatenate([other, links[:, 1]])]
+
+    def __len__(self) -> int:
+        return len(self.cuts_a) - 1
+
+    def in_order(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the tokens of either side where groups are written one after the other, A before B; and which tokens end their group's side."""
+        n_a, n_b = np.diff(self.cuts_a), np.diff(self.cuts_b)
+        place_a = np.arange(len(self.ids_a)) + np.repeat(self.cuts_b[:-1], n_a)
+        place_b = np.arange(len(self.ids_b)) + np.repeat(self.cuts_a[1:], n_b)
+        return place_a, place_b, self.cuts_a[1:] - 1, self.cuts_b[1:] - 1
 
 
 class Aligner:
     """Tokens of both sides and their groups; one per task."""
 
     def __init__(self, vocabulary_a: str = VOCABULARY_A, vocabulary_b: str = VOCABULARY_B):
-        self.a, self.b = TokensA(vocabulary_a), TokensB(vocabulary_b)
-        self.names = [str(i) for i in range(max(len(self.a.entries), len(self.b.entries)))]
-
-    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-        if not text:
-            return None
-        data = b" " + text.encode()
-        a, b = self.a.ids(text), self.b.ids(text)
-        for ids, side in ((a, self.a), (b, self.b)):
-            if b"".join(map(side.entries.__getitem__, ids.tolist())) != data:
-                return None
-        return a, b
-
-    def aligned(self, text: str | None):
-        """Ids of both sides, then stretches, groups and links as ``align`` gives them; or none."""
-        found = self.tokens(text)
-        if found is None:
-            return None
-        a, b = found
-        return a, b, *align(np.cumsum(self.a.lengths[a]).tolist(), np.cumsum(self.b.lengths[b]).tolist())
-
-    def links(self, a, b, stretches, links_a, links_b) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of both sides of all links."""
-        one = [np.arange(i, i + n) for i, _, n in stretches]
-        two = [np.arange(j, j + n) for _, j, n in stretches]
-        return (
-            a[np.concatenate([*one, np.array(links_a, dtype=np.int64)])],
-            b[np.concatenate([*two, np.array(links_b, dtype=np.int64)])],
-        )
+        self.tokens = Tokens(vocabulary_a, vocabulary_b)
+        # A token as it is written: of A with a comma or a bar, of B with a comma or a semicolon.
+        sizes = [len(e) for e in self.tokens.entries]
+        self.first_b = 2 * sizes[0]
+        self.written = [f"{i}{mark}" for size, marks in zip(sizes, (",|", ",;")) for mark in marks for i in range(size)]
+        self.sizes = sizes
+
+    def aligned(self, text: str | None) -> Alignment | None:
+        found = self.tokens.ids(text)
+        return None if found is None else Alignment(*found, *self.tokens.lengths)
+
+    def text(self, found: Alignment) -> str:
+        """Groups as ``a1,a2|b1;a3|b2``."""
+        place_a, place_b, last_a, last_b = found.in_order()
+        code_a, code_b = found.ids_a.copy(), found.ids_b + self.first_b
+        code_a[last_a] += self.sizes[0]
+        code_b[last_b] += self.sizes[1]
+        codes = np.empty(len(code_a) + len(code_b), dtype=np.int64)
+        codes[place_a], codes[place_b] = code_a, code_b
+        return "".join(map(self.written.__getitem__, codes.tolist()))[:-1]
 
 
 # ---- groups per document
@@ -182,12 +235,10 @@ def _aligned(batches: Iterator[pa.RecordBatch], vocabulary_a: str, vocabulary_b:
             found = aligner.aligned(text.as_py())
             ids_a, ids_b, sizes = [], [], []
             if found is not None:
-                ids_a, ids_b, stretches, groups, _, _ = found
-                for k, (_, _, n) in enumerate(stretches):
-                    sizes += [{"tokens_a": 1, "tokens_b": 1}] * n
-                    if k < len(groups):
-                        i, last_i, j, last_j = groups[k]
-                        sizes.append({"tokens_a": last_i - i, "tokens_b": last_j - j})
+                ids_a, ids_b = found.ids_a, found.ids_b
+                sizes = pa.StructArray.from_arrays(
+                    [pa.array(np.diff(found.cuts_a)), pa.array(np.diff(found.cuts_b))], names=["tokens_a", "tokens_b"]
+                ).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([doc_id], pa.int64()),
@@ -251,12 +302,9 @@ def _packets(batches: Iterator[pa.RecordBatch], vocabulary_a: str, vocabulary_b:
             row = {"doc_id": doc_id, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": ""}
             pairs = times = np.zeros(0, dtype=np.int64)
             if (found := aligner.aligned(text)) is not None:
-                a, b, stretches, groups, links_a, links_b = found
-                written, n_groups = group_text(a.tolist(), b.tolist(), stretches, groups, aligner.names)
-                one, two = aligner.links(a, b, stretches, links_a, links_b)
-                pairs, times = np.unique(one << _PAIR_BITS | two, return_counts=True)
-                row |= {"n_a": len(a), "n_b": len(b), "n_groups": n_groups, "n_links": len(one)}
-                row["groups_sha256"] = hashlib.sha256(written.encode()).hexdigest()
+                pairs, times = np.unique(found.links_a << _PAIR_BITS | found.links_b, return_counts=True)
+                row |= {"n_a": len(found.ids_a), "n_b": len(found.ids_b), "n_groups": len(found), "n_links": len(found.links_a)}
+                row["groups_sha256"] = hashlib.sha256(aligner.text(found).encode()).hexdigest()
             held.append(row)
             own.append((pairs, times))
             size += len(text or "")
