@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 from holdfast.operators.quality import require_label
 from holdfast.schemas import CUSTOMERS
 from holdfast.session import checkpoint_root, saved
-from holdfast.sources.files import read_if_present
+from holdfast.sources.log import Log
 
 # Features are all columns of a customer but ids, split and label: texts are categories.
 _FEATURES = [f for f in CUSTOMERS if f.name not in ("id", "customer_id", "dataset_split", "churn")]
@@ -29,6 +30,10 @@ MODEL_NAME = "Churn prediction model"
 REGISTERED_NAME = "churn_prediction_model"
 
 
+# Rows that one task of a fit holds in memory.
+ROWS_PER_PARTITION = 500_000
+
+
 def feature_stages() -> list:
     """One-hot categories (an unknown one is all zeros) beside the plain numbers."""
     indexed = [f"{c}__index" for c in CATEGORICAL_FEATURES]
@@ -41,8 +46,21 @@ def feature_stages() -> list:
     ]
 
 
+def in_canonical_layout(rows: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+    """The same rows, placed and ordered by their values alone: a fit sums and samples per partition.
+
+    Rows with the same values may change places, which changes nothing.
+    """
+    partitions = max(1, -(-rows.count() // rows_per_partition))
+    placed = rows.repartition(1) if partitions == 1 else rows.repartition(partitions, F.xxhash64(*rows.columns))
+    return placed.sortWithinPartitions(*rows.columns)
+
+
 def train(training: DataFrame, rounds: int = 100, seed: int = 42) -> PipelineModel:
-    """Fit gradient-boosted trees: depth 3, learning rate 0.1, one tree per round."""
+    """Fit gradient-boosted trees: depth 3, learning rate 0.1, one tree per round.
+
+    The trees depend on the rows and the seed, not on how the rows are stored.
+    """
     checkpoint_root(training.sparkSession)
     booster = GBTClassifier(
         featuresCol="features",
@@ -56,7 +74,7 @@ def train(training: DataFrame, rounds: int = 100, seed: int = 42) -> PipelineMod
     labelled = training.select(
         *CATEGORICAL_FEATURES, *NUMERIC_FEATURES, F.col("churn").cast("double").alias("label")
     )
-    return Pipeline(stages=[*feature_stages(), booster]).fit(labelled)
+    return Pipeline(stages=[*feature_stages(), booster]).fit(in_canonical_layout(labelled))
 
 
 def score_customers(df: DataFrame, model: PipelineModel) -> DataFrame:
@@ -116,6 +134,7 @@ VERSION_SCHEMA = T.StructType(
         T.StructField("name", T.StringType()),
         T.StructField("version", T.IntegerType()),
         T.StructField("path", T.StringType()),
+        T.StructField("revision", T.LongType()),
     ]
 )
 
@@ -128,24 +147,26 @@ class ModelVersion:
 
 
 class ModelStore:
-    """Fitted models in numbered folders, with a table of the versions."""
+    """Fitted models in folders of their own, with a log of the versions that several writers may add to."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self._versions_path = f"{self.root}/versions"
+        self._log = Log(spark, f"{self.root}/versions", VERSION_SCHEMA)
 
     def versions(self) -> DataFrame:
-        return read_if_present(self.spark, self._versions_path, VERSION_SCHEMA)
+        return self._log.rows().drop("revision")
 
     def register(self, model: PipelineModel, name: str = REGISTERED_NAME) -> ModelVersion:
         """Save the model, then add its version: a version listed can always be loaded."""
-        known = self.versions().where(F.col("name") == name).agg(F.max("version")).first()[0] or 0
-        entry = ModelVersion(name, known + 1, f"{self.root}/{name}/version_{known + 1}")
-        model.write().overwrite().save(entry.path)
-        row = self.spark.createDataFrame([(entry.name, entry.version, entry.path)], VERSION_SCHEMA)
-        row.coalesce(1).write.mode("append").parquet(self._versions_path)
-        return entry
+        path = f"{self.root}/{name}/model_{uuid.uuid4().hex[:12]}"
+        model.write().save(path)
+
+        def entry(rows: DataFrame) -> dict:
+            known = rows.where(F.col("name") == name).agg(F.max("version")).first()[0] or 0
+            return {"name": name, "version": known + 1, "path": path}
+
+        return ModelVersion(name, self._log.append(entry)["version"], path)
 
     def latest(self, name: str = REGISTERED_NAME) -> ModelVersion | None:
         row = self.versions().where(F.col("name") == name).orderBy(F.desc("version")).first()

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from holdfast.operators import quality, reconcile
 from holdfast.queries.registry import query
 from holdfast.queries.tables import Tables
+from holdfast.sources.buckets import part_of
+from holdfast.sources.results import ResultStore
 
 
 @query(
@@ -126,6 +130,29 @@ def r04_check(t: Tables):
     ).report
 
 
+@query("r04_update_in_place", "SELECT customer_id, main_risk_factor, TRUE AS others_kept FROM pred")
+def r04_in_place(t: Tables):
+    """Customers of one bucket have drifted: reconciling corrects them, and reads all other buckets from the files
+    they were in.
+    """
+    store = ResultStore(t.spark, t.scratch("in_place"), t.buckets)
+    one = part_of(t.buckets) == 0
+    wrong = t.predictions.withColumn("main_risk_factor", F.when(one, "drifted").otherwise(F.col("main_risk_factor")))
+    store.publish(store.create_job({}), wrong, t.segments, t.recommendations)
+    files = F.input_file_name().alias("file")
+
+    def places():
+        return store.published()["predictions"].select(files, F.when(one, 0).otherwise(1).alias("other")).distinct()
+
+    before = places().where("other = 1").select("file")
+    reconcile.reconcile_results(store, t.customers)
+    after = places()
+    kept = (after.where("other = 1").join(before, "file", "left_anti").agg(F.count("*")).scalar() == 0) & (
+        after.where("other = 0").agg(F.count_if(~F.col("file").contains("_amended_"))).scalar() == 0
+    )
+    return store.published()["predictions"].select("customer_id", "main_risk_factor", kept.alias("others_kept"))
+
+
 def changes(df):
     return df.selectExpr("count(*) AS rows_count", "count_if(changed) AS changed_rows")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from holdfast import schemas
@@ -15,6 +17,7 @@ from holdfast.queries.tables import Tables
 from holdfast.sources import csv
 from holdfast.sources.results import (
     LOG_SCHEMA,
+    KeyViolation,
     ResultStore,
     current_jobs,
     prediction_rows,
@@ -86,6 +89,68 @@ def s05(t: Tables):
     )
 
 
+@query(
+    "s09_two_writers",
+    """SELECT customer_id, TRUE AS one_run, TRUE AS own_ids, TRUE AS all_logged FROM pred""",
+)
+def s09_two_writers(t: Tables):
+    """Two runs publish at once, one with every customer at no risk: their ids differ, all entries of both are in
+    the log, and the results seen are those of one run in all three tables.
+    """
+    path, ids = t.scratch("two_writers"), []
+    safe = scoring.enrich_predictions(t.scored.withColumn("churn_probability", F.lit(0.0)))
+
+    def run(rows):
+        store = ResultStore(t.spark, path, t.buckets)
+        ids.append(store.create_job({"model_version": "safe" if rows is safe else "real"}))
+        store.publish(ids[-1], rows, scoring.customer_segments(rows), scoring.customer_recommendations(rows))
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(run, (safe, t.scored)))
+    store = ResultStore(t.spark, path, t.buckets)
+    found, log = store.published(), store.log()
+    winner = log.where("status = 'success'").agg(F.max_by("id", "revision").alias("id"), F.max_by("model_version", "revision").alias("kind"))
+    seen = found["predictions"].join(found["customer_segments"], "customer_id").join(found["customer_recommendations"], "customer_id")
+    right = seen.join(t.scored.select("customer_id", F.col("churn_probability").alias("real")), "customer_id").crossJoin(F.broadcast(winner))
+    expected = F.when(F.col("kind") == "safe", 0.0).otherwise(F.col("real"))
+    idle = F.col("recommendation_type") == L.NO_ACTION
+    return right.select(
+        "customer_id",
+        (
+            (F.col("scoring_job_id") == F.col("id"))
+            & (F.col("churn_probability") == expected)
+            & (idle == (F.col("churn_probability") < L.MEDIUM_RISK))
+        ).alias("one_run"),
+        F.lit(sorted(ids) == [1, 2]).alias("own_ids"),
+        (log.agg(F.count_distinct("revision")).scalar() == 4).alias("all_logged"),
+    )
+
+
+@query("s05_refused_commit", "SELECT customer_id, churn_probability, TRUE AS refused FROM pred")
+def s05_refused(t: Tables):
+    """A run with each of three broken keys is refused; the results before it stay."""
+    store, scored = ResultStore(t.spark, t.scratch("refused"), t.buckets), t.scored
+    good = (scored, scoring.customer_segments(scored), scoring.customer_recommendations(scored))
+    store.publish(store.create_job({}), *good)
+    nobody = F.lit("nobody").alias("customer_id")
+    broken = (
+        (good[0].unionByName(scored.limit(1)), *good[1:]),
+        (good[0], good[1].unionByName(good[1].limit(1).withColumn("customer_id", F.lit(None).cast("string"))), good[2]),
+        (*good[:2], good[2].unionByName(good[2].limit(1).select(nobody, *good[2].columns[1:]))),
+    )
+    refused = 0
+    for tables in broken:
+        job = store.create_job({})
+        try:
+            store.publish(job, *tables)
+        except KeyViolation:
+            store.update_status(job, "failed")
+            refused += 1
+    rows = store.published()["predictions"].select("customer_id", "churn_probability")
+    failed = store.jobs().where("status = 'failed'").agg(F.count("*")).scalar()
+    return rows.withColumn("refused", (failed == 3) & F.lit(refused == 3))
+
+
 @query(
     "s06_prediction_rows",
     """SELECT customer_id, CAST(7 AS INTEGER) AS scoring_job_id, churn_probability, risk_group,
@@ -113,7 +178,7 @@ def s08(t: Tables):
 
 def job_log(t: Tables):
     """A log in which every job was started and all but the running ones have ended."""
-    ended = t.jobs.withColumns({"revision": F.lit(2).cast("bigint"), "buckets": F.lit(8), "folder": F.lit("")})
+    ended = t.jobs.withColumns({"revision": F.lit(2).cast("bigint"), "buckets": F.lit(8), "folder": F.lit(""), "layout": F.lit("{}")})
     started = ended.withColumns({"revision": F.lit(1).cast("bigint"), "status": F.lit("running")})
     return started.unionByName(ended.where(F.col("status") != "running")).select(*LOG_SCHEMA.names)
 

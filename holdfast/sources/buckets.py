@@ -8,14 +8,19 @@ file names.
 from __future__ import annotations
 
 import hashlib
+import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from holdfast.session import scratch_path
 
 KEY = "customer_id"
 ROWS_PER_BUCKET = 4_000_000
+# Buckets are kept in this many folders at most, which can be replaced one by one.
+MOST_PARTS = 256
+PART = "holdfast_part"
 
 
 def table_name(path: str) -> str:
@@ -76,3 +81,50 @@ def saved_by_customer(df: DataFrame, buckets: int) -> DataFrame:
     path = scratch_path(df.sparkSession, "rows")
     write_bucketed(df, path, buckets)
     return read_bucketed(df.sparkSession, path, df.schema, buckets)
+
+
+# Tables whose parts lie in different folders
+
+
+def part_of(buckets: int, key: str = KEY) -> Column:
+    """The part that holds a row's bucket."""
+    return F.pmod(F.hash(key), F.lit(buckets)) % min(buckets, MOST_PARTS)
+
+
+def write_parts(df: DataFrame, path: str, buckets: int, key: str = KEY) -> list[int]:
+    """Write one sorted file per bucket, in a folder per part; return the parts that have rows."""
+    (
+        df.withColumn(PART, part_of(buckets, key))
+        .repartition(buckets, key)
+        .write.mode("overwrite")
+        .format("parquet")
+        .partitionBy(PART)
+        .bucketBy(buckets, key)
+        .sortBy(key)
+        .option("path", path)
+        .saveAsTable(table_name(path))
+    )
+    spark = df.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+    names = [f.getPath().getName() for f in found]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{PART}="))
+
+
+def read_parts(
+    spark: SparkSession, root: str, layout: dict[str, list[int]], schema: StructType, buckets: int, key: str = KEY
+) -> DataFrame:
+    """The table whose parts lie in the folders of ``layout``, bucketed as it was written."""
+    name = table_name(json.dumps([root, layout, schema.simpleString(), buckets], sort_keys=True))
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({columns}, {PART} int) USING parquet PARTITIONED BY ({PART}) "
+            f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{root}/{name}'"
+        )
+        places = [
+            f"PARTITION ({PART}={part}) LOCATION '{root}/{folder}/{PART}={part}'" for folder, parts in layout.items() for part in parts
+        ]
+        if places:
+            spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {' '.join(places)}")
+    return spark.table(name).select(*schema.names)

@@ -13,8 +13,9 @@ from holdfast.operators.filters import CustomerFilter
 from holdfast.plans import runs
 from holdfast.session import scratch_path
 from holdfast.sources import csv
-from holdfast.sources.buckets import buckets_for, read_bucketed, table_name
-from holdfast.sources.results import ResultStore
+from holdfast.sources.buckets import buckets_for, read_bucketed, table_name, write_bucketed
+from holdfast.sources.log import Log
+from holdfast.sources.results import KeyViolation, ResultStore, Superseded, key_violations
 from tests.helpers import prediction, predictions, recommendations, segments
 
 HIGH = CustomerFilter(risk_group="High")
@@ -197,17 +198,113 @@ def test_bucket_count_follows_the_rows(spark):
 def test_vacuum_keeps_what_is_published(spark, store, data):
     for _ in range(3):
         store.publish(store.create_job({}), *data)
-    store.amend(store.published())
+    tables = store.published()
+    changed = {**tables, "customer_segments": tables["customer_segments"].withColumn("segment_id", F.lit(1))}
+    store.amend(changed)
     before = sorted(store.published()["predictions"].collect())
     assert store.vacuum(keep=2) == ["job_2", "job_1"]
-    assert store.vacuum() == ["job_3"] and store.vacuum() == []
+    # The amendment still reads the predictions of the run it amended.
+    assert store.vacuum() == []
     assert sorted(store.published()["predictions"].collect()) == before
     assert not spark.catalog.tableExists(table_name(f"{store.root}/predictions/job_2"))
+    store.publish(store.create_job({}), *data)
+    gone = store.vacuum()
+    assert len(gone) == 2 and gone[1] == "job_3" and gone[0].startswith("job_3_amended_") and store.vacuum() == []
     assert not os.path.exists(f"{store.root}/predictions/job_3")
+    assert sorted(r["customer_id"] for r in store.published()["predictions"].collect()) == ["C1", "C2"]
     with pytest.raises(ValueError):
         store.vacuum(keep=0)
 
 
+def stored_files(df):
+    return {r["f"] for r in df.select(F.input_file_name().alias("f")).distinct().collect()}
+
+
+def test_amendment_keeps_the_files_of_unchanged_buckets(spark, store):
+    ids = [f"C{k}" for k in range(40)]
+    rows = (
+        predictions(spark, [prediction(i) for i in ids]),
+        segments(spark, [(i, 4, "Stable") for i in ids]),
+        recommendations(spark, [(i, "No Action", None, "Low") for i in ids]),
+    )
+    store.publish(store.create_job({}), *rows)
+    before = store.published()
+    files = {name: stored_files(df) for name, df in before.items()}
+    assert all(len(f) == 4 for f in files.values())
+    one = F.col("customer_id") == "C7"
+    store.amend({**before, "customer_segments": before["customer_segments"].withColumn("segment_id", F.when(one, 2).otherwise(F.col("segment_id")))})
+    after = store.published()
+    assert len(stored_files(after["customer_segments"]) & files["customer_segments"]) == 3
+    assert stored_files(after["predictions"]) == files["predictions"]
+    assert {r["segment_id"] for r in after["customer_segments"].where(one).collect()} == {2}
+    assert after["customer_segments"].count() == 40
+    # Rows may also be removed and added; joins of amended tables are not shuffled.
+    store.amend({**after, "customer_recommendations": after["customer_recommendations"].where("customer_id != 'C7'")})
+    last = store.published()
+    assert last["customer_recommendations"].count() == 39
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = last["predictions"].join(last["customer_segments"], "customer_id")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in joined and "Exchange" not in joined
+        violations = key_violations(last)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in violations
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_runs_with_broken_keys_are_refused(store, data):
+    p, s, r = data
+    store.publish(store.create_job({}), *data)
+    broken = [(p.union(p), s, r), (p, s.union(s.limit(1)), r), (p.where("customer_id = 'C1'"), s, r)]
+    for tables in broken:
+        with pytest.raises(KeyViolation, match="predictions|segments|recommendations"):
+            store.publish(store.create_job({}), *tables)
+    assert store.published()["predictions"].count() == 2
+    assert {r["scoring_job_id"] for r in store.published()["predictions"].collect()} == {1}
+
+
+def test_writers_at_once(spark, store, data):
+    """Ids, folders and log entries of runs that write at once are their own, and one run is seen whole."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def run(k):
+        own = ResultStore(spark, store.root, 4)
+        job = own.create_job({})
+        own.publish(job, *(df.withColumn("customer_id", F.concat("customer_id", F.lit(f"of{job}"))) for df in data))
+        return job
+
+    with ThreadPoolExecutor(4) as pool:
+        assert sorted(pool.map(run, range(4))) == [1, 2, 3, 4]
+    revisions = sorted(r["revision"] for r in store.log().collect())
+    assert revisions == list(range(1, 9))
+    last = store.log().orderBy(F.desc("revision")).first()["id"]
+    for df in store.published().values():
+        assert {r["customer_id"].split("of")[1] for r in df.collect()} == {str(last)}
+
+
+def test_amendments_of_superseded_results_are_refused(store, data):
+    store.publish(store.create_job({}), *data)
+    with pytest.raises(Superseded):
+        with store.amending() as save:
+            for name, df in store.published().items():
+                save(name, df)
+            store.publish(store.create_job({}), *data)
+    assert {r["scoring_job_id"] for r in store.published()["predictions"].collect()} == {2}
+
+
+def test_log_numbers_are_taken_once(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    schema = StructType(schemas.SCORING_JOBS.fields[:1]).add("revision", "long")
+    path, made = scratch_path(spark, "log"), []
+    log = Log(spark, path, schema)
+    assert log.rows().isEmpty() and log.append(lambda rows: None) is None
+    with ThreadPoolExecutor(4) as pool:
+        made = list(pool.map(lambda k: Log(spark, path, schema).append(lambda rows: {"id": rows.count()}), range(8)))
+    assert sorted((m["revision"], m["id"]) for m in made) == [(k + 1, k) for k in range(8)]
+    assert not log._create(8, "{}") and log.rows().count() == 8
+
+
 def test_half_an_amendment_is_not_shown(store, data):
     store.publish(store.create_job({}), *data)
     before = sorted(store.published()["predictions"].collect())
@@ -218,8 +315,8 @@ def test_half_an_amendment_is_not_shown(store, data):
 
 
 def test_registrations_that_no_longer_fit_are_replaced(spark, store, data):
-    store.publish(store.create_job({}), *data)
-    path = f"{store.root}/predictions/job_1"
+    path = scratch_path(spark, "predictions")
+    write_bucketed(data[0], path, 4)
     assert read_bucketed(spark, path, StructType(schemas.PREDICTIONS.fields[:1]), 16).columns == ["customer_id"]
     assert read_bucketed(spark, path, schemas.PREDICTIONS, 16).columns == schemas.PREDICTIONS.names
     assert read_bucketed(spark, path, schemas.PREDICTIONS, 16).count() == 2

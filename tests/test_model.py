@@ -109,3 +109,25 @@ def test_empty_splits_are_refused(spark, customers):
         runs.run_scoring(customers, models, results)
     failed = one(results.jobs())
     assert (failed["status"], failed["model_version"]) == ("failed", "churn_prediction_model/latest")
+
+
+def test_trees_do_not_depend_on_the_layout(spark, logical):
+    rows = prepare_features(logical.customers.where("dataset_split = 'train'"))
+    trees = set()
+    for partitions in (1, 3, 8):
+        fitted = model.train(rows.repartition(partitions, "state"), rounds=5)
+        trees.add(fitted.stages[-1].toDebugString.split("\n", 1)[1])
+    assert len(trees) == 1
+
+
+def test_versions_of_writers_at_once(spark, logical):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from holdfast.session import scratch_path
+
+    fitted = model.train(prepare_features(logical.customers.where("dataset_split = 'train'")), rounds=1)
+    root = scratch_path(spark, "models")
+    with ThreadPoolExecutor(3) as pool:
+        made = list(pool.map(lambda k: model.ModelStore(spark, root).register(fitted), range(3)))
+    assert sorted(m.version for m in made) == [1, 2, 3] and len({m.path for m in made}) == 3
+    assert model.ModelStore(spark, root).latest().version == 3
