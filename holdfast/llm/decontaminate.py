@@ -6,15 +6,16 @@ are candidates. A candidate is tiled by running Karp-Rabin: for a search length
 long to ``SHORTEST``, rolling hashes find equal unmarked stretches, matches are extended as far as
 both sides agree and are unmarked, and the longest are marked first, so tiles never overlap and an
 item whose passages were reordered is still covered. An item is found when tiles cover at least
-``COVERAGE`` of its words.
+``COVERAGE`` of its words. Of an item under ``WHOLE`` words a common phrase would cover that much, so
+it is found only as a whole, in one tile, however short it is.
 
 The benchmark is a stated query set. It is taken in blocks of ``BLOCK_BYTES`` of text at most (an item
 is not split), and one block at a time is sent to the tasks; every document is held against every
 block, whole. Nothing of the documents is shuffled, whatever their sources or copies.
 
-Defined results: null and empty texts have no words; items under ``SHORTEST`` words have no tile and
-are never found; items with equal texts are one, told by the least id; repeated rows give a row each;
-null document ids stay null.
+Defined results: null and empty texts have no words, and items without words are never found; items
+with equal texts are sought once and all reported, as are items with a null id; repeated rows give a
+row each; null document ids stay null.
 """
 
 from __future__ import annotations
@@ -27,11 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm.tables import KEYS, fresh, keyed, read_table, row_keys
-from holdfast.llm.words import MARKS, Namer, slices
+from holdfast.llm.words import MARKS, Namer, Words, slices
 
 # Tiles of four words hold most of a passage even if all of its sentences change places.
 SHORTEST = 4
 COVERAGE = 0.6
+# Items of fewer words are found whole only.
+WHOLE = 10
 LONGEST_SEARCH = 40
 BLOCK_BYTES = 4 << 20
 
@@ -97,40 +100,52 @@ def tile(item: np.ndarray, text: np.ndarray, shortest: int = SHORTEST) -> list[t
 # ---- candidates
 
 
-def block_arrays(items: list[tuple[int | None, str]], shortest: int) -> tuple:
-    """Ids and words of the items, and their sorted seeds: name, item and place in the item."""
+def block_arrays(items: list[tuple[list, str]], shortest: int) -> tuple:
+    """Ids and words of the items; their sorted seeds by length: name, item and place in the item.
+
+    Seeds have ``shortest`` words, those of shorter items all of the item's words.
+    """
     words = Namer(MARKS, lower=True).words([t.encode() for _, t in items])
-    seeds = words.grams(shortest)
-    inside = np.flatnonzero(np.arange(len(seeds)) + shortest <= words.last()[: len(seeds)])
-    inside = inside[np.argsort(seeds[inside], kind="stable")]
-    item = words.documents()[inside]
-    return (
-        [i for i, _ in items],
-        [words.names[a:b] for a, b in zip(words.firsts, words.firsts[1:])],
-        seeds[inside],
-        item,
-        inside - words.firsts[item],
-    )
+    sizes, document = np.diff(words.firsts), words.documents()
+    seeds = {}
+    for size in range(1, shortest + 1):
+        names = words.grams(size)
+        inside = np.flatnonzero(np.arange(len(names)) + size <= words.last()[: len(names)])
+        if size < shortest:
+            inside = inside[sizes[document[inside]] == size]
+        inside = inside[np.argsort(names[inside], kind="stable")]
+        if len(inside):
+            item = document[inside]
+            seeds[size] = names[inside], item, inside - words.firsts[item]
+    return [i for i, _ in items], [words.names[a:b] for a, b in zip(words.firsts, words.firsts[1:])], seeds
+
+
+def seed_hits(words: Words, seeds: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Place in the words, item, place in the item and length of every seed that a slice shares with the items."""
+    found = [np.zeros((4, 0), dtype=np.int64)]
+    for size, (known, known_item, known_place) in seeds.items():
+        names = words.grams(size)
+        if not len(names):
+            continue
+        low = np.searchsorted(known, names)
+        hit = known[np.minimum(low, len(known) - 1)] == names
+        hit &= np.arange(len(names)) + size <= words.last()[: len(names)]
+        at = np.flatnonzero(hit)
+        low = low[at]
+        count = np.searchsorted(known, names[at], side="right") - low
+        each = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        found.append(np.stack([np.repeat(at, count), known_item[each], known_place[each], np.full(len(each), size)]))
+    return tuple(np.concatenate(found, axis=1))
 
 
 def _found(batches: Iterator[pa.RecordBatch], block: tuple, shortest: int, coverage: float) -> Iterator[pa.RecordBatch]:
     namer = Namer(MARKS, lower=True)
-    item_ids, items, known, known_item, known_place = block
+    item_ids, items, known = block
     for batch, texts in slices(batches):
         words = namer.words(texts)
-        seeds = words.grams(shortest)
-        if not len(seeds) or not len(known):
-            continue
-        low = np.searchsorted(known, seeds)
-        hit = known[np.minimum(low, len(known) - 1)] == seeds
-        hit &= np.arange(len(seeds)) + shortest <= words.last()[: len(seeds)]
-        at = np.flatnonzero(hit)
-        if not len(at):
+        place, item, item_place, size = seed_hits(words, known)
+        if not len(place):
             continue
-        low = low[at]
-        count = np.searchsorted(known, seeds[at], side="right") - low
-        each = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        place, item = np.repeat(at, count), known_item[each]
         pair = words.documents()[place] * len(items) + item
         order = np.argsort(pair, kind="stable")
         cuts = np.flatnonzero(np.diff(pair[order])) + 1
@@ -138,21 +153,25 @@ def _found(batches: Iterator[pa.RecordBatch], block: tuple, shortest: int, cover
         for own in np.split(order, cuts):
             document, which = divmod(int(pair[own[0]]), len(items))
             target = items[which]
-            # No tiling covers more than all seeds together.
-            reach = np.zeros(len(target) + 1, dtype=np.int64)
-            inner = np.unique(known_place[each[own]])
-            np.add.at(reach, inner, 1)
-            np.add.at(reach, inner + shortest, -1)
-            if (np.cumsum(reach)[:-1] > 0).sum() < coverage * len(target):
-                continue
             first, last = words.firsts[document], words.firsts[document + 1]
-            found = tile(target, words.names[first:last], shortest)
+            if len(target) < shortest:
+                found = [(0, int(place[own[0]] - first), len(target))]
+            else:
+                # No tiling covers more than all seeds together.
+                reach = np.zeros(len(target) + 1, dtype=np.int64)
+                inner = np.unique(item_place[own])
+                np.add.at(reach, inner, 1)
+                np.add.at(reach, inner + shortest, -1)
+                if (np.cumsum(reach)[:-1] > 0).sum() < coverage * len(target):
+                    continue
+                found = tile(target, words.names[first:last], shortest)
             share = sum(t[2] for t in found) / len(target)
-            if share >= coverage:
-                rows.append(document)
-                ids.append(item_ids[which])
-                shares.append(share)
-                tiles.append([{"item_word": a, "doc_word": b, "words": n} for a, b, n in found])
+            if found[0][2] == len(target) if found and len(target) < WHOLE else share >= coverage:
+                for item_id in item_ids[which]:
+                    rows.append(document)
+                    ids.append(item_id)
+                    shares.append(share)
+                    tiles.append([{"item_word": a, "doc_word": b, "words": n} for a, b, n in found])
         if rows:
             yield pa.RecordBatch.from_arrays(
                 [
@@ -168,18 +187,20 @@ def _found(batches: Iterator[pa.RecordBatch], block: tuple, shortest: int, cover
             )
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int | None, str]]]:
-    """Items in blocks of about ``block_bytes`` of text. One block at a time is on the driver."""
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[list, str]]]:
+    """Items in blocks of about ``block_bytes`` of text, and all ids of each. One block at a time is on the driver."""
+    item_id = F.struct(F.col("item_id").cast("long").alias("id"))
     items = (
-        benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+        benchmark.select(item_id.alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+        .filter("text != ''")
         .groupBy("text")
-        .agg(F.min("item_id").alias("item_id"))
+        .agg(F.sort_array(F.collect_list("item")).alias("items"))
     )
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes)
     for k in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
-        yield sorted(((r["item_id"], r["text"]) for r in own.collect()), key=lambda r: (r[0] is None, r[0], r[1]))
+        yield sorted((([i["id"] for i in r["items"]], r["text"]) for r in own.collect()), key=lambda r: r[1])
 
 
 def contaminated(

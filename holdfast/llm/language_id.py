@@ -11,9 +11,11 @@ Three kinds of evidence give the posterior of a row's language:
   suffix, and that towards all rows. Counts come from grouped aggregation of what the texts alone
   say, and each row's own count is taken out before it is judged.
 
-``und`` is a further hypothesis: uniform over trigrams, for texts like no known language. A row is
-rejected if ``und`` is the best, if the best has a posterior under ``LEAST_PROBABILITY``, or if its
-text has no letters, as addresses alone prove nothing about a text.
+``und`` is a further hypothesis: uniform over trigrams, for texts like no known language. A language of
+which little text was seen is nearly uniform as well, so its prior is lowered, below that of ``und`` at last:
+a rare or mistaken tag does not take over the texts that are like none. A row is rejected if ``und`` is
+the best, if the best has a posterior under ``LEAST_PROBABILITY``, or if its text has no letters, as
+addresses alone prove nothing about a text.
 
 The languages are all that are declared, by however few rows. They are scored in blocks of
 ``LANGUAGE_BLOCK``: the trigram table of one block at a time is sent to the tasks, which bounds it, and
@@ -46,6 +48,8 @@ FOREIGN = 0.2
 SMOOTHING = 10.0
 LEAST_PROBABILITY = 0.5
 UNKNOWN, UNKNOWN_PRIOR = "und", 1e-3
+# Prior of a language of which next to no text was seen.
+LEAST_KNOWN = UNKNOWN_PRIOR / 10
 
 _LETTERS = np.array([c >= 128 or chr(c).isalpha() for c in range(256)])
 
@@ -110,8 +114,10 @@ def declared_languages(evidence: DataFrame) -> list[str]:
     return sorted(r["declared"] for r in evidence.filter("declared != ''").select("declared").distinct().collect())
 
 
-def trigram_table(evidence: DataFrame, languages: Sequence[str]) -> np.ndarray:
-    """Log-probability of each bucket under each language, and under ``und`` in the last row."""
+def trigram_table(evidence: DataFrame, languages: Sequence[str]) -> tuple[np.ndarray, list[float]]:
+    """Log-probability of each bucket under each language, and under ``und`` in the last row; and for each
+    language the log of how far it is known, from ``LEAST_KNOWN`` to 1.
+    """
     labelled = evidence.filter(F.col("declared").isin(*languages)).select("declared", "text")
     names = list(languages)
     rows = (
@@ -122,9 +128,11 @@ def trigram_table(evidence: DataFrame, languages: Sequence[str]) -> np.ndarray:
     )
     counts = np.full((len(names) + 1, 1 << BUCKET_BITS), 0.5)
     counts[rows["language"], rows["bucket"]] += rows["n"]
+    seen = counts[:-1].sum(axis=1) - 0.5 * (1 << BUCKET_BITS)
+    known = LEAST_KNOWN + (1 - LEAST_KNOWN) * (seen / (seen + (1 << BUCKET_BITS))) ** 2
     shares = counts / counts.sum(axis=1, keepdims=True)
     shares[:-1] = (1 - FOREIGN) * shares[:-1] + FOREIGN / (1 << BUCKET_BITS)
-    return np.log(shares)
+    return np.log(shares), np.log(known).tolist()
 
 
 # ---- evidence
@@ -252,9 +260,10 @@ def identify(evidence: DataFrame, block: int = LANGUAGE_BLOCK) -> DataFrame:
         )
     names = [c for c in evidence.columns if c != "text"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in evidence.schema if f.name != "text")
-    texts = evidence.select(*names, "text")
+    texts, weights = evidence.select(*names, "text"), []
     for start in range(0, size, block):
-        table, last = trigram_table(evidence, languages[start : start + block]), start + block >= size
+        table, own = trigram_table(evidence, languages[start : start + block])
+        last, weights = start + block >= size, weights + own
         found = f"{schema}, {'' if last else 'text string, '}trigrams long, logs array<double>"
         texts = saved(texts.mapInArrow(lambda b, table=table, last=last: _likelihoods(b, table, last), found))
     known = F.slice("logs", 1, size)
@@ -262,9 +271,9 @@ def identify(evidence: DataFrame, block: int = LANGUAGE_BLOCK) -> DataFrame:
         # Without letters every language is as likely; such rows count for none.
         "look", F.when(F.col("trigrams") > 0, (F.array_position(known, F.array_max(known)) - 1).cast("int")).otherwise(-1)
     )
-    priors = _prior(size)
+    priors = F.zip_with(_prior(size), F.array(*map(F.lit, weights)), lambda p, w: F.log(p) + w)
     declarations, totals = declaration_counts(rows, size)
-    logs = F.zip_with(known, F.zip_with(priors, declared_given(totals), lambda p, d: F.log(p) + d), lambda a, b: a + b)
+    logs = F.zip_with(known, F.zip_with(priors, declared_given(totals), lambda p, d: p + d), lambda a, b: a + b)
     # ``und`` comes last: where it is level with a language, the language wins.
     all_logs = F.concat(logs, F.array(F.get("logs", F.lit(size)) + float(np.log(UNKNOWN_PRIOR))))
     judged = rows.join(host_counts(rows), "host").join(declarations, "declared", "left").withColumn("posterior", all_logs)

@@ -30,7 +30,7 @@ def brute(rows):
 
 
 def digests(df):
-    read = chat.digest(chat.read_back(chat.format_conversations(df)))
+    read = chat.digest(chat.expanded(chat.format_conversations(df)))
     return {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in read.collect()}
 
 
@@ -105,3 +105,17 @@ def test_own_rules(spark):
     rules = [("a.b", "", "block"), ("b", "/p/q", "allow"), ("a.b", "/p.x", "allow"), ("b", "/p+", "block")]
     rows = list(enumerate(["http://a.b", "http://z.a.b/p/q", "http://b/p/qr", "http://a.b/p.xy", "http://a.b/pzx", "http://b/p+", "http://b/pp"]))
     assert judged(spark, rows, rules) == brute_judged(rows, rules)
+
+
+def test_every_assistant_turn_is_a_row(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b<|c"), (1, 2, "assistant", None), (2, 0, "user", "x"), (None, 0, "assistant", "n")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    formatted = chat.format_conversations(df)
+    found = chat.expanded(formatted)
+    shown = {(r.conv_id, r.turn_no, r.reply) for r in found.collect()}
+    assert shown == {(1, 1, "b<|c"), (1, 2, ""), (2, None, None), (None, 0, "n")}
+    texts = {r.conv_id: r.formatted for r in formatted.collect()}
+    for r in found.filter("turn_no IS NOT NULL").collect():
+        assert texts[r.conv_id][r.reply_start :].startswith(r.reply.replace("<|", "&lt;|") + chat.END)
+    plan = chat.digest(found)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan and plan.split("== Initial Plan ==")[-1].count("Exchange") == 1 and "Python" not in plan

@@ -83,9 +83,11 @@ def test_reordered_and_disguised_passages(spark):
     ]
     items = spark.createDataFrame([(7, " ".join(item)), (9, " ".join(item)), (8, "q1 q2"), (None, None), (3, "")], "item_id long, text string")
     docs = documents(spark, rows, clashing=True)
-    assert found(docs, items) == sorted([(50, 7, 1.0), (51, 7, 1.0), (51, 7, 1.0), (53, 7, 0.6), (None, 7, 1.0)], key=repr)
+    # Items 7 and 9 have one text; item 8 is two words that are together in each of these.
+    whole = [(i, j, 1.0) for i in (50, 51, 51, None) for j in (7, 9)] + [(53, 7, 0.6), (53, 9, 0.6)]
+    assert found(docs, items) == sorted(whole + [(i, 8, 1.0) for i in (50, 51, 51, 52, 53, None)], key=repr)
     kept = d.without_contaminated(docs, items)
-    assert kept.columns == docs.columns and kept.count() == len(rows) - 5
+    assert kept.columns == docs.columns and kept.count() == len(rows) - 6
     assert found(docs, items.limit(0)) == [] and found(docs.limit(0), items) == []
 
 
@@ -101,3 +103,16 @@ def test_shuffled_sentences_are_found(spark):
         rng.shuffle(sentences)
         rows.append((r.item_id, "Other words come first. " + " ".join(sentences) + "\nAnd some follow."))
     assert {(i, j) for i, j, _ in found(documents(spark, rows), items) if i == j} == {(i, i) for i, _ in rows}
+
+
+def test_short_items_are_found_whole_only(spark):
+    items = [(1, "blue whale song"), (2, "what is the capital of peru"), (3, "Yes!"), (4, "one two three four five six seven eight nine"), (5, None)]
+    docs = [
+        (10, "the Blue, whale song was heard"), (11, "blue whale"), (12, "what is the capital gain tax here"),
+        (13, "So: what is the capital of Peru?"), (14, "yes"), (15, "yesterday"), (16, "one two three four five six seven eight"),
+        (17, "zero one two three four five six seven eight nine ten"), (18, "song blue whale"), (19, "five six seven eight nine one two three four"),
+    ]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    expected = sorted([(10, 1, 1.0), (13, 2, 1.0), (14, 3, 1.0), (17, 4, 1.0)], key=repr)
+    assert found(documents(spark, docs), benchmark) == expected
+    assert found(documents(spark, docs), benchmark, block_bytes=20) == expected

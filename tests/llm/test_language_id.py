@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from holdfast.llm import language_id as li
 from tests.conftest import SF_DIR
 from tests.llm.helpers import EDGES, documents
@@ -104,3 +106,29 @@ def test_blocks_of_languages_give_the_same(spark):
     evidence = li.document_evidence(rows_of(spark, rows))
     one, three = ({(r.doc_id, r.language, r.probability) for r in li.identify(evidence, b).collect()} for b in (256, 10))
     assert one == three and len(one) == len(rows)
+
+
+@pytest.mark.parametrize("tags", [0, 1, 10, 300])
+def test_rare_tags_do_not_take_the_part_of_unknown(spark, tags):
+    """Texts that are like no language stay rejected, however many tags single rows declare."""
+    rng = random.Random(7)
+    rows = [(k, text(rng, "en" if k % 3 else "de", 200), "en" if k % 3 else "de", "a.org", 1, "x") for k in range(300)]
+    gibberish = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") if rng.random() < 0.85 else " " for _ in range(rng.choice([60, 400]))) for _ in range(40)]
+    rows += [(1000 + k, g, None, "b.org", 1, "x") for k, g in enumerate(gibberish)]
+    names = [a + b + c for a in "qxyz" for b in "abcdefghij" for c in "klmnopqrst"][:tags]
+    rows += [(2000 + k, "hello world", name, "c.org", 1, "x") for k, name in enumerate(names)]
+    found = {r.doc_id: r for r in li.identify(li.document_evidence(rows_of(spark, rows))).collect()}
+    assert [found[1000 + k].kept for k in range(40)] == [False] * 40
+    assert all(found[k].kept and found[k].language == ("en" if k % 3 else "de") for k in range(300))
+
+
+def test_languages_of_three_rows_are_known(spark):
+    rng = random.Random(9)
+    vocabularies = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 7))) for _ in range(40)] for _ in range(80)]
+    rows = [
+        (3 * k + j, " ".join(rng.choice(words) for _ in range(80)), f"{chr(97 + k // 26)}{chr(97 + k % 26)}", f"h{k}.org", 1, "x")
+        for k, words in enumerate(vocabularies)
+        for j in range(3)
+    ]
+    found = {r.doc_id: r for r in li.identify(li.document_evidence(rows_of(spark, rows))).collect()}
+    assert sum(found[i].kept and found[i].language == lang for i, _, lang, *_ in rows) >= 0.99 * len(rows)
