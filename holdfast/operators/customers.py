@@ -19,8 +19,8 @@ from holdfast.session import saved
 
 # Rows a top-k may hold for one page; see ``top_rows``.
 PAGE_SCOPE = 20_000
-# Keys that cut the order into ranges, per pass.
-SPLITTERS = 64
+# Steps of probability that are counted first, and keys that cut the order into ranges, per pass.
+STEPS, SPLITTERS = 4096, 64
 
 
 def result_rows(predictions: DataFrame, segments: DataFrame, recommendations: DataFrame) -> DataFrame:
@@ -51,13 +51,17 @@ def _literal(key) -> Column:
 def page_scope(df: DataFrame, count: int, skip: int, scope: int = PAGE_SCOPE) -> tuple[DataFrame, int]:
     """A range of the order that holds a page, and how many rows come before the range.
 
-    Rows are counted per range between sampled keys, and the ranges that hold the page are cut
-    again, until a top-k over them holds ``scope`` rows at most. Only counts and the sampled
-    keys leave the executors; rows are neither sorted nor written.
+    A page within the first ``scope`` rows needs no range. For others, rows are counted per step of
+    probability in one pass, and those of the steps that hold the page are kept. Where these are
+    more than ``scope`` still, they are counted per range between sampled keys, and the ranges that
+    hold the page are cut again, until a top-k over them holds ``scope`` rows at most. Only counts
+    and the sampled keys leave the executors; rows are neither sorted nor written.
     """
+    if skip + count <= scope:
+        return df, 0
+    df, before, size = _probability_range(df, count, skip)
     keys = df.select(_order_key().alias("key"))
     low = high = None
-    before, size = 0, keys.count()
     while skip - before + count > scope and size > scope and skip < before + size:
         sample = keys.sample(min(1.0, 4 * SPLITTERS / size), seed=len(str(size))).limit(16 * SPLITTERS)
         found = sorted((r["key"] for r in sample.collect()), key=_python_order)
@@ -92,6 +96,36 @@ def page_scope(df: DataFrame, count: int, skip: int, scope: int = PAGE_SCOPE) ->
     return df, before
 
 
+def _step() -> Column:
+    """Number of the step of probability, in the order of pages; unknown ones come first."""
+    p = F.col("churn_probability")
+    number = F.greatest(F.lit(0), F.least(F.lit(STEPS - 1), F.floor((1 - p) * STEPS)))
+    return F.when(p.isNull(), -1).otherwise(number).cast("int")
+
+
+def _probability_range(df: DataFrame, count: int, skip: int) -> tuple[DataFrame, int, int]:
+    """The rows of the steps that hold a page, and the numbers of rows before them and in them."""
+    counts = sorted((r["step"], r["n"]) for r in df.groupBy(_step().alias("step")).agg(F.count("*").alias("n")).collect())
+    before, at, kept = 0, 0, []
+    for step, n in counts:
+        if at + n <= skip:
+            before = at + n
+        elif at < skip + count:
+            kept.append((step, n))
+        at += n
+    if not kept:
+        return df.where(F.lit(False)), before, 0
+    first, last = kept[0][0], kept[-1][0]
+    df = df.where(_step().between(first, last))
+    # The same range once more, a little wider, in a form that reaches the files.
+    p = F.col("churn_probability")
+    if first > 0:
+        df = df.where(p <= 1 - first / STEPS + 1e-9)
+    if 0 <= first and last < STEPS - 1:
+        df = df.where(p >= 1 - (last + 1) / STEPS - 1e-9)
+    return df, before, sum(n for _, n in kept)
+
+
 def _python_order(key) -> tuple:
     return key["known"], key["falling"] is not None, key["falling"] or 0.0, key["id"] is not None, (key["id"] or "").encode()
 
