@@ -40,8 +40,8 @@ def add_estimated_total_charge(df: DataFrame) -> DataFrame:
     return filled.withColumn("estimated_total_charge", rules.total_charge(*[F.col(c) for c in CHARGES]))
 
 
-def add_customer_ids(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
-    """Number the rows C00001, C00002, ... in the given order, or as they are stored, if they have no ids."""
+def add_customer_ids(df: DataFrame, order_by: list[str] | str | None = None) -> DataFrame:
+    """Number the rows C00001, C00002, ... in the given order, ``AS_STORED``, or as they come, if they have no ids."""
     if "customer_id" in df.columns:
         return df
     ranked = numbered(df, order_by, "__number")

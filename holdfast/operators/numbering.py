@@ -19,6 +19,10 @@ SPLIT_NAMES = ("train", "validation", "test", "scoring_batch")
 SPLIT_PERCENTS = (60, 75, 90)
 _STEP = 16
 
+# As ``order_by``: rows of a Parquet folder by the names of its files and their places in them.
+AS_STORED = "as stored"
+BLOCK_ROWS = 1 << 20
+
 
 def keys_at_ranks(df: DataFrame, key: str, ranks: list[int]) -> dict[int, int]:
     """The key at each 1-based rank in ascending key order, for whole-number keys.
@@ -83,15 +87,17 @@ def ordered_split(df: DataFrame, key: str = "id", column: str = "dataset_split")
 
 
 def numbered(
-    df: DataFrame, order_by: list[str | Column] | None, column: str, start: int = 1
+    df: DataFrame, order_by: list[str | Column] | str | None, column: str, start: int = 1
 ) -> DataFrame:
-    """Number the rows consecutively in the given order, or as they are stored.
+    """Number the rows consecutively in the given order, ``AS_STORED``, or as they come.
 
-    The rows are written with the partition they were in and their position there;
+    But for ``AS_STORED``, the rows are written with the partition they were in and their position there;
     a row's number is its position plus the count of rows in earlier partitions.
     Because both are read back from the files, a task that is run again cannot
     change a number. The broadcast side has one row per partition.
     """
+    if order_by == AS_STORED:
+        return numbered_as_stored(df, column, start)
     position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     ordered = df.orderBy(*order_by) if order_by else df
     placed = saved(ordered.withColumns({"__part": F.spark_partition_id(), "__position": position}))
@@ -107,10 +113,38 @@ def numbered(
     )
 
 
+def numbered_as_stored(df: DataFrame, column: str, start: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Number the rows of a Parquet folder by file name and place in the file; nothing is written.
+
+    ``df`` reads one folder and may be filtered and projected, but not joined. Files do not change, so a task that
+    is run again gives the same numbers. Rows are counted per block of a file, over columns that are no data;
+    a number is the count of rows in earlier blocks plus the place in the block. Where filters left gaps,
+    places are counted within each block, the only case in which rows are moved, by block. The global window
+    sees one row per block.
+    """
+    placed = df.select(
+        "*",
+        F.col("_metadata.file_path").alias("__file"),
+        F.floor(F.col("_metadata.row_index") / block_rows).alias("__block"),
+        F.col("_metadata.row_index").alias("__row"),
+    )
+    block = ["__file", "__block"]
+    blocks = placed.groupBy(*block).agg(F.count("*").alias("__size"), F.min("__row").alias("__first"), F.max("__row").alias("__last"))
+    gaps = not blocks.where(F.col("__last") - F.col("__first") + 1 != F.col("__size")).isEmpty()
+    earlier = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select(*block, "__first", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__offset"))
+    place = F.col("__row") - F.col("__first")
+    if gaps:
+        within = Window.partitionBy(*block).orderBy("__row")
+        placed = placed.withColumn("__place", F.row_number().over(within).cast("bigint") - 1)
+        place = F.col("__place")
+    return placed.join(offsets, block).select(*df.columns, (F.col("__offset") + place + start).alias(column))
+
+
 def backfill_ids(
-    df: DataFrame, order_by: list[str] | None = None, start: int | None = None
+    df: DataFrame, order_by: list[str] | str | None = None, start: int | None = None
 ) -> DataFrame:
-    """Give rows without an id consecutive ids in the given order, or as they are stored.
+    """Give rows without an id consecutive ids in the given order, ``AS_STORED``, or as they come.
 
     Numbering continues after the largest id, so new ids never collide;
     ``start=1`` restarts it, as a first backfill of an empty column does.

@@ -7,16 +7,16 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from holdfast.operators.metrics import NO_ROWS, binary_metrics
 from holdfast.operators.quality import require_label
 from holdfast.schemas import CUSTOMERS
-from holdfast.session import checkpoint_root, saved
+from holdfast.session import checkpoint_root
 from holdfast.sources.log import Log
 
 # Features are all columns of a customer but ids, split and label: texts are categories.
@@ -85,50 +85,6 @@ def score_customers(df: DataFrame, model: PipelineModel) -> DataFrame:
     )
 
 
-def confusion(df: DataFrame, label: str = "churn", score: str = "churn_probability") -> DataFrame:
-    """One row: F1, recall, precision and accuracy at 0.5; a zero denominator gives 0."""
-    hit, called = F.col(label) == 1, F.col(score) >= 0.5
-    counts = df.agg(
-        F.count_if(hit & called).alias("tp"),
-        F.count_if(~hit & called).alias("fp"),
-        F.count_if(hit & ~called).alias("fn"),
-        F.count("*").alias("n"),
-        F.count_if(hit).alias("positives"),
-    )
-
-    def ratio(part, whole):
-        return F.when(whole > 0, part / whole).otherwise(0.0)
-
-    tp, fp, fn, n = (F.col(c) for c in ("tp", "fp", "fn", "n"))
-    return counts.select(
-        ratio(2 * tp, 2 * tp + fp + fn).alias("f1_score"),
-        ratio(tp, tp + fn).alias("recall"),
-        ratio(tp, tp + fp).alias("precision"),
-        ratio(n - fp - fn, n).alias("accuracy"),
-        ((F.col("positives") > 0) & (F.col("positives") < n)).alias("both_classes"),
-    )
-
-
-def roc_auc(df: DataFrame, label: str = "churn", score: str = "churn_probability") -> float:
-    """Exact area under the curve: ``numBins=0`` keeps every distinct score."""
-    evaluator = BinaryClassificationEvaluator(
-        rawPredictionCol=score, labelCol="__label", metricName="areaUnderROC", numBins=0
-    )
-    return evaluator.evaluate(df.select(F.col(label).cast("double").alias("__label"), score))
-
-
-def binary_metrics(df: DataFrame, label: str = "churn", score: str = "churn_probability") -> DataFrame:
-    """One row with ROC-AUC (NULL if only one class occurs), F1, recall, precision, accuracy.
-
-    Labels and scores are written once: both measures read them, and the model behind them runs once.
-    """
-    df = saved(df.select(label, score))
-    area = F.when(F.col("both_classes"), F.lit(float(roc_auc(df, label, score))))
-    return confusion(df, label, score).select(
-        area.alias("roc_auc"), "f1_score", "recall", "precision", "accuracy"
-    )
-
-
 VERSION_SCHEMA = T.StructType(
     [
         T.StructField("name", T.StringType()),
@@ -187,14 +143,18 @@ def train_and_register(
     rounds: int = 100,
     seed: int = 42,
 ) -> dict:
-    """Fit on the training rows, measure on the other two and store the model."""
+    """Fit on the training rows, measure on the other two in one plan, and store the model."""
     require_label(training=training, validation=validation, test=test)
     model = train(training, rounds, seed)
 
-    def measured(df: DataFrame) -> dict:
-        return binary_metrics(score_customers(df, model)).first().asDict()
+    def scored(df: DataFrame, part: str) -> DataFrame:
+        return score_customers(df, model).select("churn", "churn_probability", F.lit(part).alias("part"))
 
-    validation_metrics, test_metrics = measured(validation), measured(test)
+    both = scored(validation, "validation").unionByName(scored(test, "test"))
+    measured = {row["part"]: row.asDict() for row in binary_metrics(both, groups=["part"]).collect()}
+    validation_metrics, test_metrics = (
+        {metric: measured.get(part, NO_ROWS)[metric] for metric in NO_ROWS} for part in ("validation", "test")
+    )
     entry = store.register(model, name)
     return {
         "model": entry,

@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from holdfast.functions import draws
 from holdfast.operators import augment
 from holdfast.operators.features import prepare_features
+from holdfast.operators.metrics import METRICS, binary_metrics
 from holdfast.plans import model, runs
 from holdfast.queries.registry import query, rounded
 from holdfast.queries.tables import Tables
 from holdfast.sources.results import ResultStore
 
-METRICS = ("roc_auc", "f1_score", "recall", "precision", "accuracy")
 METRICS_SQL = """(SELECT
   (sum(mid_rank) FILTER (churn = 1) - p * (p + 1) / 2) / (p * (count(*) - p)) AS roc_auc,
   2 * tp / (p + called) AS f1_score, tp / p AS recall, tp / called AS precision,
@@ -41,7 +41,27 @@ def test_rows(t: Tables):
 
 @query("a18_binary_metrics", f"SELECT {SHOWN_METRICS} FROM {METRICS_SQL}")
 def a18(t: Tables):
-    return rounded(model.binary_metrics(test_rows(t)), *METRICS)
+    return rounded(binary_metrics(test_rows(t)), *METRICS)
+
+
+@query(
+    "a18_metrics_by_split",
+    """SELECT dataset_split,
+  round((sum(mid_rank) FILTER (churn = 1) - p * (p + 1) / 2) / nullif(p * (count(*) - p), 0), 6) AS roc_auc,
+  coalesce(round(2 * tp / nullif(p + called, 0), 6), 0) AS f1_score, coalesce(round(tp / nullif(p, 0), 6), 0) AS recall,
+  coalesce(round(tp / nullif(called, 0), 6), 0) AS precision,
+  round((tp + count(*) - p - called + tp) / count(*), 6) AS accuracy
+  FROM (SELECT dataset_split, churn, avg(place) OVER (PARTITION BY dataset_split, churn_probability) AS mid_rank,
+          sum(churn) OVER split AS p, count(*) FILTER (churn_probability >= 0.5) OVER split AS called,
+          count(*) FILTER (churn_probability >= 0.5 AND churn = 1) OVER split AS tp
+        FROM (SELECT dataset_split, churn, churn_probability,
+                row_number() OVER (PARTITION BY dataset_split ORDER BY churn_probability) AS place FROM raw) placed
+        WINDOW split AS (PARTITION BY dataset_split)) ranked_rows
+  GROUP BY dataset_split, p, called, tp""",
+)
+def a18_by_split(t: Tables):
+    """The metrics of every split, from one plan."""
+    return rounded(binary_metrics(t.inputs, groups=["dataset_split"]), *METRICS)
 
 
 @query(
@@ -52,7 +72,7 @@ def a18(t: Tables):
 )
 def s09(t: Tables):
     store = ResultStore(t.spark, t.scratch("job_insert"), t.buckets)
-    store.create_job(model.binary_metrics(test_rows(t)).first().asDict())
+    store.create_job(binary_metrics(test_rows(t)).first().asDict())
     jobs = rounded(store.jobs(), "roc_auc", "f1_score", "recall")
     return jobs.select(
         "id", "model_name", "model_version", "algorithm", "roc_auc", "f1_score", "recall", "status"
@@ -115,17 +135,15 @@ def m03(t: Tables):
     an area of one half on the training rows; a label that follows from a feature is found in rows not seen.
     """
     told = model.train(planted(rows_of(t, "train")), rounds=10)
-    parts = []
-    for split in ("train", "validation", "test"):
-        metrics = model.binary_metrics(model.score_customers(rows_of(t, split), fitted(t)))
-        # A small split may hold one class only: its area is then unknown.
-        within = [F.coalesce(F.col(m).between(0, 1), F.lit(m == "roc_auc")) for m in METRICS]
-        if split == "train":
-            learns = F.col("roc_auc") > 0.5
-        else:
-            learns = model.confusion(model.score_customers(planted(rows_of(t, split)), told)).select("accuracy").scalar() == 1.0
-        parts.append(metrics.select(F.lit(split).alias("dataset_split"), reduce(and_, within).alias("within_bounds"), learns.alias("learns")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    rows = rows_of(t, "train", "validation", "test")
+    metrics = binary_metrics(model.score_customers(rows, fitted(t)), groups=["dataset_split"])
+    found = binary_metrics(model.score_customers(planted(rows), told), groups=["dataset_split"])
+    # A small split may hold one class only: its area is then unknown.
+    within = [F.coalesce(F.col(m).between(0, 1), F.lit(m == "roc_auc")) for m in METRICS]
+    learns = F.when(F.col("dataset_split") == "train", F.col("roc_auc") > 0.5).otherwise(F.col("told") == 1.0)
+    return metrics.join(found.select("dataset_split", F.col("accuracy").alias("told")), "dataset_split").select(
+        "dataset_split", reduce(and_, within).alias("within_bounds"), learns.alias("learns")
+    )
 
 
 @query(

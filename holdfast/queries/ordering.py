@@ -59,6 +59,39 @@ def f03(t: Tables):
     return features.add_customer_ids(bare, ["falling"]).select("id", "customer_id")
 
 
+def in_files(t: Tables, name: str, df):
+    """The rows in eight files that follow each other in the order of ``key``."""
+    path = t.scratch(name)
+    df.repartitionByRange(8, "key").sortWithinPartitions("key").write.parquet(path)
+    return t.spark.read.schema(df.schema).parquet(path)
+
+
+@query(
+    "w06_backfill_as_stored",
+    """SELECT id AS key, CAST(CASE WHEN voice_mail_plan <> 'Yes' THEN id
+    ELSE max(CASE WHEN voice_mail_plan <> 'Yes' THEN id END) OVER ()
+      + row_number() OVER (PARTITION BY voice_mail_plan ORDER BY id DESC) END AS BIGINT) AS id FROM raw""",
+)
+def w06_as_stored(t: Tables):
+    """Files hold the customers in falling order; those without an id are numbered where they lie."""
+    gap = F.when(F.col("voice_mail_plan") != "Yes", F.col("id"))
+    stored = in_files(t, "gaps", t.customers.select((-F.col("id")).alias("key"), gap.alias("id")))
+    filled = numbering.backfill_ids(stored, numbering.AS_STORED)
+    return filled.select((-F.col("key")).alias("key"), "id")
+
+
+@query(
+    "f03_ids_as_stored",
+    """SELECT id, 'C' || CASE WHEN n < 100000 THEN lpad(CAST(n AS VARCHAR), 5, '0')
+    ELSE CAST(n AS VARCHAR) END AS customer_id
+  FROM (SELECT id, row_number() OVER (ORDER BY id DESC) AS n FROM raw) numbered_rows""",
+)
+def f03_as_stored(t: Tables):
+    """Every row of the files is numbered: no row is moved or written."""
+    stored = in_files(t, "bare", t.customers.select((-F.col("id")).alias("key")))
+    return features.add_customer_ids(stored, numbering.AS_STORED).select((-F.col("key")).alias("id"), "customer_id")
+
+
 @query(
     "f04_customer_id_backfill",
     """SELECT id, CASE WHEN voice_mail_plan = 'Yes' THEN customer_id

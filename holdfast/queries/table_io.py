@@ -52,6 +52,34 @@ def s01_inferred(t: Tables):
     return found.select(*[plan if c == "international_plan" else c for c in found.columns])
 
 
+@query(
+    "s01_rejected_rows",
+    f"""SELECT id, id % 7 <> 0 AND id % 11 <> 0 AND id % 13 <> 0 AS accepted,
+  CASE WHEN id % 7 = 0 THEN 'too many fields' WHEN id % 11 = 0 THEN 'too few fields'
+    WHEN id % 13 = 0 THEN 'not of the column''s type' END AS reason,
+  CAST(CASE WHEN id % 7 = 0 THEN {len(schemas.CUSTOMERS) + 1} WHEN id % 11 = 0 THEN 3
+    WHEN id % 13 = 0 THEN {len(schemas.CUSTOMERS)} END AS INTEGER) AS fields,
+  CASE WHEN id % 7 = 0 OR id % 11 = 0 THEN '' WHEN id % 13 = 0 THEN 'account_length,churn' END AS misfits,
+  CASE WHEN id % 7 <> 0 AND id % 11 <> 0 AND id % 13 <> 0 THEN total_day_charge END AS total_day_charge FROM raw""",
+)
+def s01_rejected(t: Tables):
+    """Customers as lines, some with a field too many, some cut, some with text in number columns."""
+    path, number = t.scratch("ragged_csv"), F.col("id")
+    wrong = {c: F.when(number % 13 == 0, F.lit("many")).otherwise(F.col(c).cast("string")) for c in ("account_length", "churn")}
+    line = F.to_csv(F.struct(*[wrong.get(c, F.col(c)).alias(c) for c in schemas.CUSTOMERS.names]))
+    spoiled = F.when(number % 7 == 0, F.concat(line, F.lit(",beyond"))).when(
+        number % 11 == 0, F.to_csv(F.struct("id", "customer_id", "dataset_split"))
+    )
+    t.customers.select(F.coalesce(spoiled, line)).write.text(path)
+    loaded = csv.load_csv(t.spark, path, schemas.CUSTOMERS, header=False)
+    rejects = loaded.rejects.select(
+        F.split_part("line", F.lit(","), F.lit(1)).cast("bigint").alias("id"), F.lit(False).alias("accepted"),
+        "reason", "fields", F.concat_ws(",", "columns").alias("misfits"),
+    )
+    accepted = loaded.rows.select("id", F.lit(True).alias("accepted"), "total_day_charge")
+    return accepted.unionByName(rejects, allowMissingColumns=True)
+
+
 @query("s02_column_names", f"SELECT {COLUMNS} FROM raw")
 def s02(t: Tables):
     return csv.normalize_columns(odd_names(t))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from holdfast.operators import numbering
+from holdfast.session import scratch_path
 
 
 @pytest.mark.parametrize("kind, low, high", [("int", 0, 5000), ("int", -(2**31), 2**31 - 1), ("bigint", -(2**62), 2**62)])
@@ -99,3 +100,22 @@ def test_rows_without_a_key_rank_last(spark):
     for key, split in found:
         counts[key is None, split] = counts.get((key is None, split), 0) + 1
     assert counts == {(False, "train"): 60, (False, "validation"): 15, (False, "test"): 5, (True, "scoring_batch"): 20}
+
+
+@pytest.mark.parametrize("kept", ["true", "key % 3 = 0", "key % 100 >= 50", "false"])
+def test_numbers_as_stored(spark, kept):
+    """Places in files hold whatever filters leave; blocks are smaller than files."""
+    path = scratch_path(spark, "stored")
+    spark.range(1000).withColumnRenamed("id", "key").repartitionByRange(5, "key").sortWithinPartitions("key").write.parquet(path)
+    rows = spark.read.parquet(path).where(kept)
+    found = numbering.numbered_as_stored(rows, "n", start=10, block_rows=64).orderBy("n").collect()
+    assert [r["n"] for r in found] == list(range(10, 10 + rows.count()))
+    assert [r["key"] for r in found] == sorted(r["key"] for r in rows.collect())
+
+
+def test_whole_files_are_numbered_without_a_move(spark):
+    path = scratch_path(spark, "whole")
+    spark.range(1000).repartition(4).write.parquet(path)
+    plan = numbering.numbered_as_stored(spark.read.parquet(path), "n")._jdf.queryExecution().executedPlan().toString()
+    scanned_rows = plan.split("BroadcastHashJoin")[1].split("BroadcastExchange")[0]
+    assert "Exchange" not in scanned_rows and "Window" not in scanned_rows
