@@ -76,11 +76,15 @@ def read_bucketed(
 def saved_by_customer(df: DataFrame, buckets: int) -> DataFrame:
     """Write rows below the checkpoint folder, bucketed, and continue from the files.
 
-    Joins with tables of as many buckets stay free of shuffles.
+    Joins with tables of as many buckets stay free of shuffles. The plan knows files and buckets by then, so
+    the catalogue does not keep the scratch table; its files stay.
     """
-    path = scratch_path(df.sparkSession, "rows")
+    spark = df.sparkSession
+    path = scratch_path(spark, "rows")
     write_bucketed(df, path, buckets)
-    return read_bucketed(df.sparkSession, path, df.schema, buckets)
+    kept = read_bucketed(spark, path, df.schema, buckets)
+    spark.sql(f"DROP TABLE {table_name(path)}")
+    return kept
 
 
 # Tables whose parts lie in different folders

@@ -13,7 +13,7 @@ from holdfast.operators.filters import CustomerFilter
 from holdfast.plans import runs
 from holdfast.session import scratch_path
 from holdfast.sources import csv
-from holdfast.sources.buckets import buckets_for, read_bucketed, table_name, write_bucketed
+from holdfast.sources.buckets import buckets_for, read_bucketed, saved_by_customer, table_name, write_bucketed
 from holdfast.sources.log import Log
 from holdfast.sources.results import KeyViolation, ResultStore, Superseded, key_violations
 from tests.helpers import prediction, predictions, recommendations, segments
@@ -320,3 +320,14 @@ def test_registrations_that_no_longer_fit_are_replaced(spark, store, data):
     assert read_bucketed(spark, path, StructType(schemas.PREDICTIONS.fields[:1]), 16).columns == ["customer_id"]
     assert read_bucketed(spark, path, schemas.PREDICTIONS, 16).columns == schemas.PREDICTIONS.names
     assert read_bucketed(spark, path, schemas.PREDICTIONS, 16).count() == 2
+
+
+def test_scratch_tables_leave_the_catalogue(spark, data):
+    """Rows and buckets are still known after the entry is gone, also in a join and when read twice."""
+    before = {t.name for t in spark.catalog.listTables()}
+    left, right = (saved_by_customer(df, 4) for df in data[:2])
+    assert {t.name for t in spark.catalog.listTables()} == before
+    joined = left.join(right.hint("merge"), "customer_id")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    for _ in range(2):
+        assert {r["customer_id"]: r["segment_id"] for r in joined.collect()} == {"C1": 2, "C2": 4}
