@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from holdfast.operators import quality, reconcile
-from holdfast.sources.results import ResultStore
+from holdfast.sources.results import KeyViolation, ResultStore
 from tests.helpers import one, prediction, predictions, recommendations, segments
 
 
@@ -82,7 +82,11 @@ def test_reconciling_twice_changes_nothing(drifted):
 def test_published_results_are_reconciled_in_place(spark, drifted, tmp_path):
     p, s, r, c = drifted
     store = ResultStore(spark, str(tmp_path), 2)
-    store.publish(store.create_job({}), p, s, r)
+    # Results with a customer that has no prediction are refused; the other customers are published.
+    with pytest.raises(KeyViolation, match="no prediction Y"):
+        store.publish(store.create_job({}), p, s, r)
+    known = F.col("customer_id") != "Y"
+    store.publish(store.create_job({}), p, s.where(known), r.where(known))
     report = one(reconcile.reconcile_results(store, c)).asDict()
     assert (report["updated_risk_factors"], report["updated_recommendations"], report["updated_segments"]) == (2, 3, 2)
     again = one(reconcile.reconcile_results(store, c)).asDict()
