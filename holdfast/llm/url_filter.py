@@ -8,7 +8,8 @@ longest rule that fits gives the verdict.
 
 All tokens but the last of a rule's path are whole tokens of every URL it fits; the last may go on in
 the URL (``/en`` fits ``/english``) unless a separator follows it, so it is no key. A rule without a
-whole token, which only an empty host allows, is refused.
+whole token (an empty host, or one without ASCII letters and digits) is filed under ``ANY``, a token that
+all URLs have.
 
 Token counts are combined before they are shuffled. Distinct hosts and paths are judged, not rows, so
 a page that a third of the table repeats is judged once. The join with the rules is left to Spark: it
@@ -38,6 +39,8 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 DEFAULT = "allow"
+# The token of all URLs; others start with ``h:`` or ``p:``.
+ANY = "*"
 
 
 def tokens(text: str) -> list[str]:
@@ -50,12 +53,13 @@ def whole_tokens(host: str, path: str) -> list[str]:
     own = tokens(path)
     if own and re.search(r"[0-9A-Za-z]\Z", path):
         own.pop()
-    return found + ["p:" + t for t in own]
+    return found + ["p:" + t for t in own] or [ANY]
 
 
 def rule_pattern(host: str, path: str) -> str:
-    """Regular expression over host and path of a URL, joined by ``#``, which neither of them has."""
-    return r"(?s)^(?:.*\.)?" + re.escape(host) + "#" + re.escape(path)
+    """Regular expression over host and path of a URL, joined by ``#``, which neither of them has. An empty host fits all."""
+    own = r"(?:.*\.)?" + re.escape(host) if host else "[^#]*"
+    return "(?s)^" + own + "#" + re.escape(path)
 
 
 def host_of(url: Column) -> Column:
@@ -74,13 +78,10 @@ def url_tokens(host: Column, path: Column) -> Column:
         found = F.regexp_extract_all(text, F.lit("[0-9A-Za-z]+"), F.lit(0))
         return F.transform(found, lambda t: F.concat(F.lit(mark), t))
 
-    return F.array_distinct(F.concat(marked(host, "h:"), marked(path, "p:")))
+    return F.array_distinct(F.concat(F.array(F.lit(ANY)), marked(host, "h:"), marked(path, "p:")))
 
 
 def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
-    for host, path, _ in rules:
-        if not whole_tokens(host, path):
-            raise ValueError(f"rule {host + path!r} has no whole token")
     rows = [
         (host, path, verdict, host + path, rule_pattern(host, path), whole_tokens(host, path))
         for host, path, verdict in rules

@@ -1,6 +1,5 @@
 import hashlib
 
-import pytest
 
 from holdfast.llm import chat_format as chat
 from holdfast.llm import url_filter as urls
@@ -97,8 +96,20 @@ def test_rules_are_filed_under_their_rarest_token(spark):
     counts = spark.createDataFrame([("h:www", 5), ("h:example", 50), ("h:com", 80), ("p:en", 3)], "token string, urls long")
     found = {r.rule: r.key for r in urls.indexed(urls.rule_table(spark, urls.RULES), counts).collect()}
     assert found["www.example.com/en/"] == "p:en" and found["com/"] == "h:com" and found["net/es/"] == "h:net"
-    with pytest.raises(ValueError, match="token"):
-        urls.rule_table(spark, [("", "/x", "block")])
+    assert urls.whole_tokens("", "/x") == urls.whole_tokens("例え", "/é") == [urls.ANY]
+
+
+def test_rules_without_a_whole_token(spark):
+    rules = [("例え", "/", "block"), ("", "/x", "block"), ("com", "/x", "allow"), ("", "", "allow"), ("-.-", "/é", "block")]
+    addresses = ["http://例え/", "http://a.例え/b", "http://x例え/", "http://a.de/xy", "http://a.com/x", "http://-.-/é", None, "", "http://#/x"]
+
+    def best(url):
+        ((_, host, path, *_),) = brute_judged([(0, url)], [])
+        fits = [r for r in rules if (not r[0] or host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+        return min(fits, key=lambda r: (-len(r[0] + r[1]), r))
+
+    found = {i: (rule, verdict) for i, _, _, rule, verdict in judged(spark, [*enumerate(addresses)], rules)}
+    assert found == {i: (best(u)[0] + best(u)[1], best(u)[2]) for i, u in enumerate(addresses)}
 
 
 def test_own_rules(spark):
