@@ -14,8 +14,8 @@ a share. Word counts, classes and training cover all training documents. Each ta
 part from shared parameters, which are then averaged by tokens; ``ROUNDS`` rounds take disjoint
 documents, so each is seen once.
 
-The ``KNOWN`` most frequent words at most are sent to the tasks with their counts. All other words of a
-document are joined with the counts, so counts are exact whatever the size of the vocabulary.
+The ``KNOWN`` most frequent words at most, of ``KNOWN_BYTES`` each at most, are sent to the tasks with
+their counts: 8 MB in all. All other words of a document are joined with the counts, so counts are exact whatever the size of the vocabulary.
 
 Defined results: null and empty texts are one end token; documents with a null id are training
 documents; without any training token all counts are zero; repeated rows are documents of their own.
@@ -38,13 +38,13 @@ from holdfast.llm.words import slices
 
 SYMBOLS, CLASSES, MIXED = 256, 64, 16
 CONTEXT, WIDTH, NOISE, BATCH, RATE = 3, 16, 32, 2048, 0.1
-KNOWN = 1 << 17
+KNOWN, KNOWN_BYTES = 1 << 17, 64
 # Remainders of training documents in each round; 2 is held out.
 FOLDS, HELD_OUT, ROUNDS = 7, 2, ((0, 1, 3), (4, 5, 6))
 # Tokens scored at a time: their scores fit into a core's cache.
 SCORED_BATCH = 512
-# Words a task counts before it passes them on.
-COUNTED = 1 << 18
+# Words a task counts, and bytes of text it counts them in, before it passes them on.
+COUNTED, COUNTED_BYTES = 1 << 18, 1 << 27
 
 END = b""
 
@@ -62,6 +62,7 @@ def fold() -> Column:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter[bytes] = Counter()
+    read = 0
 
     def rows() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -72,9 +73,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, texts in slices(batches):
         for text in texts:
             counts.update(tokens(text))
-        if len(counts) > COUNTED:
+            read += len(text)
+        if len(counts) > COUNTED or read > COUNTED_BYTES:
             yield rows()
             counts.clear()
+            read = 0
     if counts:
         yield rows()
 
@@ -87,7 +90,11 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 
 def frequent(counts: DataFrame, limit: int = KNOWN) -> list[tuple[str, int]]:
-    """The most frequent words, ``limit`` at most; most frequent first. Words of one count bin come or go together."""
+    """The most frequent words of ``KNOWN_BYTES`` at most, ``limit`` of them at most; most frequent first.
+
+    Words of one count bin come or go together.
+    """
+    counts = counts.filter(F.octet_length("word") <= KNOWN_BYTES)
     bin_ = F.floor(F.log2("n") * 8)
     sizes = counts.groupBy(bin_.alias("bin")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()
     least, words = None, 0

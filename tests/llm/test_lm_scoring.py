@@ -84,3 +84,13 @@ def test_probability_of_words_in_a_class_adds_up(spark):
     classes = data["class_size"] > 0
     assert np.allclose(mass[classes] + 1 / data["class_size"][classes], 1)
     assert (mass[~classes] <= 1).all()
+
+
+def test_only_short_words_are_sent_to_the_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lm, "COUNTED_BYTES", 100)
+    long = "字" * 30
+    rows = [(i, f"{long} a{'b' * 62} {'c' * 65} w{i % 3}") for i in range(40)]
+    counts = lm.word_counts(documents(spark, rows).repartition(2))
+    assert {(r.word, r.n) for r in counts.collect()} >= {(long, 40), ("c" * 65, 40), ("", 40), ("w0", 14)}
+    assert {w for w, _ in lm.frequent(counts)} == {"", "a" + "b" * 62, "w0", "w1", "w2"}
+    assert base(lm.score(documents(spark, rows)).collect()) == brute_base(rows)
