@@ -7,7 +7,9 @@ fingerprint together take in all 128 bits, so a name that is not in the index is
 
 Documents do not join lines. Each part of a split keeps the distinct names of its lines as one
 *packet*; the packet sends each shard one array of names and gets one array of counts back. A line of
-every document is thus sent once per packet, not once per document.
+every document is thus sent once per packet, not once per document. A shard that gets more than
+``HOT_NAMES`` names, as one with such a line does, is split by packet: its parts are counted before the
+shard is built, and each part is probed with its own copy of the shard.
 
 Defined results: null and empty texts are one empty line, which has no key and stays; a document
 counts once for a line however often it has it; rows with equal id and text are documents of their
@@ -33,6 +35,8 @@ MIN_DOCUMENTS = 10
 # Names of lines that packets hold, over this, is the number of shards: it bounds what a task holds.
 SHARD_NAMES = 1 << 18
 LEAST_SHARDS = 64
+# Names that a shard gets before it is split.
+HOT_NAMES = 4 * SHARD_NAMES
 
 NAME = np.dtype([("first", ">u8"), ("second", ">u8")])
 
@@ -149,14 +153,44 @@ def shard_count(packets: DataFrame) -> int:
     return max(LEAST_SHARDS, -(-names // (16 * SHARD_NAMES)))
 
 
+def pieces_of(packets: DataFrame, shards: int) -> DataFrame:
+    return packets.select("packet", "names", "documents").mapInArrow(lambda b: _pieces(b, shards), PIECE)
+
+
+def hot_shards(packets: DataFrame, shards: int) -> DataFrame:
+    """``shard``, ``parts``: the shards that get more than ``HOT_NAMES`` names, and into how many parts they go."""
+    names = F.sum(F.octet_length("names")) / 16
+    sizes = pieces_of(packets, shards).groupBy("shard").agg(F.ceil(names / HOT_NAMES).cast("int").alias("parts"))
+    return saved(sizes.filter("parts > 1"))
+
+
 def _column(table: pa.Table, name: str, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=dtype)
 
 
-def _build(table: pa.Table) -> pa.Table:
+def _counted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct names and their document counts."""
     names, documents = _column(table, "names", NAME), _column(table, "documents", np.uint32)
     distinct, which = np.unique(names, return_inverse=True)
-    counts = np.bincount(which, weights=documents).astype(np.uint64)
+    return distinct, np.bincount(which, weights=documents).astype(np.uint64)
+
+
+def _combined(table: pa.Table) -> pa.Table:
+    """The names of one part of a hot shard, each once. Counts beyond 32 bits stay at the largest."""
+    names, documents = _counted(table)
+    most = np.uint64(np.iinfo(np.uint32).max)
+    return pa.table(
+        {
+            "shard": table.column("shard").slice(0, 1),
+            "packet": table.column("packet").slice(0, 1),
+            "names": pa.array([names.tobytes()], pa.binary()),
+            "documents": pa.array([np.minimum(documents, most).astype(np.uint32).tobytes()], pa.binary()),
+        }
+    )
+
+
+def _build(table: pa.Table) -> pa.Table:
+    distinct, counts = _counted(table)
     first, second = distinct["first"].astype(np.uint64), distinct["second"].astype(np.uint64)
     sizes, bits = build_hash(first, second)
     slot = find_slots(sizes, bits, first, second)
@@ -173,11 +207,20 @@ def _build(table: pa.Table) -> pa.Table:
     )
 
 
-def line_index(packets: DataFrame, shards: int) -> DataFrame:
+def _parted(pieces: DataFrame, hot: DataFrame) -> DataFrame:
+    """Pieces with the ``part`` of their shard, which is 0 where it is not split."""
+    return pieces.join(hot, "shard", "left").withColumn("part", F.coalesce(F.pmod(F.hash("packet"), "parts"), F.lit(0)))
+
+
+def line_index(packets: DataFrame, shards: int, hot: DataFrame) -> DataFrame:
     """One row per shard: the minimal perfect hash, the fingerprints and the document counts."""
-    pieces = packets.select("packet", "names", "documents").mapInArrow(lambda b: _pieces(b, shards), PIECE)
+    pieces = _parted(pieces_of(packets, shards), hot)
+    names = ["shard", "packet", "names", "documents"]
+    parts = pieces.filter("parts IS NOT NULL").select("part", *names)
+    combined = parts.groupBy("shard", "part").applyInArrow(_combined, PIECE)
+    rows = pieces.filter("parts IS NULL").select(*names).unionByName(combined)
     return saved(
-        pieces.groupBy("shard").applyInArrow(
+        rows.groupBy("shard").applyInArrow(
             _build, "shard int, sizes array<long>, bits binary, prints binary, counts binary"
         )
     )
@@ -230,12 +273,16 @@ def _flags(packets: pa.Table, answers: pa.Table) -> pa.Table:
     )
 
 
-def common_lines(packets: DataFrame, index: DataFrame, shards: int, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+def common_lines(
+    packets: DataFrame, index: DataFrame, shards: int, hot: DataFrame, min_documents: int = MIN_DOCUMENTS
+) -> DataFrame:
     """Row keys of documents with common lines, and a byte per line that tells which are."""
-    pieces = packets.select("packet", "names", "documents").mapInArrow(lambda b: _pieces(b, shards), PIECE)
+    pieces = _parted(pieces_of(packets, shards), hot).select("packet", "shard", "part", "names")
+    part = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    copies = index.join(hot, "shard", "left").withColumn("part", part).drop("parts")
     answers = (
-        pieces.groupBy("shard")
-        .cogroup(index.groupBy("shard"))
+        pieces.groupBy("shard", "part")
+        .cogroup(copies.groupBy("shard", "part"))
         .applyInArrow(lambda a, b: _probe(a, b, min_documents), "packet long, shard int, common binary")
     )
     return (
@@ -269,7 +316,9 @@ def drop_common_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_c
     """A row per document: ``row`` (its columns but the text), ``n_lines``, ``n_dropped``, ``kept``."""
     packets = packets_of(keyed(docs), max(1, min_chars))
     shards = shard_count(packets)
-    flags = common_lines(packets, line_index(packets, shards), shards, min_documents).dropDuplicates(list(KEYS))
+    hot = hot_shards(packets, shards)
+    index = line_index(packets, shards, hot)
+    flags = common_lines(packets, index, shards, hot, min_documents).dropDuplicates(list(KEYS))
     rows = whole(docs)
     kind = rows.schema["row"].dataType.simpleString()
     return (

@@ -94,6 +94,18 @@ def test_line_edges(spark, clashing):
     assert lines(documents(spark, rows).limit(0), 3) == []
 
 
+@pytest.mark.parametrize("names", [1, 7, 50])
+def test_shards_with_a_common_line_are_split(spark, monkeypatch, names):
+    rows = [(i, f"everywhere\nline {i % 9}\nown {i}\n{'twice' if i < 2 else 'x' * i}") for i in range(60)]
+    monkeypatch.setattr(line_dedup, "HOT_NAMES", names)
+    monkeypatch.setattr(line_dedup, "LEAST_SHARDS", 3)
+    packets = line_dedup.packets_of(line_dedup.keyed(documents(spark, rows).repartition(8)))
+    hot = {r.shard: r.parts for r in line_dedup.hot_shards(packets, 3).collect()}
+    assert hot and min(hot.values()) > 1
+    for least in (2, 7, 60, 61):
+        assert lines(documents(spark, rows).repartition(8), least) == brute_lines(rows, least)
+
+
 def test_lines_gone_from_texts(spark):
     rows = [(k, f"Top\nown {k}\n top ") for k in range(10)] + [(10, None)]
     found = line_dedup.without_common_lines(documents(spark, rows))
