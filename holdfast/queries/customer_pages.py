@@ -88,6 +88,19 @@ def p02_backslash(t: Tables):
     return plain.union(literal)
 
 
+@query(
+    "p02_indexed_search",
+    filtered_sql("lower(customer_id) LIKE '%c00042%' OR lower(customer_id) LIKE '%c%0_7%' OR lower(customer_id) LIKE '%c!_1%' ESCAPE '!'"),
+)
+def p02_indexed(t: Tables):
+    """Searches over the parts that the index of ids leaves; no id is found by two of them."""
+    found = []
+    for text in ("C00042", "c%0_7", "C\\_1"):
+        tables = t.searched(text)
+        found.append(CustomerFilter(search=text).apply(customers.result_rows(*tables)).select(*NARROW))
+    return found[0].union(found[1]).union(found[2]).distinct()
+
+
 @query(
     "p03_equalities",
     filtered_sql("segment_name = 'Tariff Optimization Segment' AND recommendation_type = 'Tariff Optimization'"),

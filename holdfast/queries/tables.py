@@ -175,20 +175,28 @@ class Tables:
         """Prepared customers of all splits with probability, risk group and factor."""
         return scoring.enrich_predictions(prepare_features(self.inputs))
 
+    @cached_property
+    def store(self) -> ResultStore:
+        return ResultStore(self.spark, self.scratch("results"), self.buckets)
+
     @cached_property
     def results(self) -> dict[str, DataFrame]:
         """Published result tables. Some segments and recommendations are missing on
         purpose, so that outer joins meet customers without them."""
-        store = ResultStore(self.spark, self.scratch("results"), self.buckets)
         scored = self.scored
         number = F.col("id")
-        store.publish(
-            store.create_job({}),
+        self.store.publish(
+            self.store.create_job({}),
             scored,
             scoring.customer_segments(scored.where(number % 41 != 0)),
             scoring.customer_recommendations(scored.where(number % 37 != 0)),
         )
-        return store.published()
+        return self.store.published()
+
+    def searched(self, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The result tables, cut to the parts that a search can match."""
+        found = self.results and self.store.published(search=text)
+        return found["predictions"], found["customer_segments"], found["customer_recommendations"]
 
     @property
     def predictions(self) -> DataFrame:

@@ -116,9 +116,10 @@ def write_parts(df: DataFrame, path: str, buckets: int, key: str = KEY) -> list[
 
 
 def read_parts(
-    spark: SparkSession, root: str, layout: dict[str, list[int]], schema: StructType, buckets: int, key: str = KEY
+    spark: SparkSession, root: str, layout: dict[str, list[int]], schema: StructType, buckets: int, key: str = KEY,
+    only: list[int] | None = None,
 ) -> DataFrame:
-    """The table whose parts lie in the folders of ``layout``, bucketed as it was written."""
+    """The table whose parts lie in the folders of ``layout``, bucketed as it was written; ``only`` some parts if given."""
     name = table_name(json.dumps([root, layout, schema.simpleString(), buckets], sort_keys=True))
     if not spark.catalog.tableExists(name):
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
@@ -131,4 +132,7 @@ def read_parts(
         ]
         if places:
             spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {' '.join(places)}")
-    return spark.table(name).select(*schema.names)
+    table = spark.table(name)
+    if only is not None:
+        table = table.where(F.col(PART).isin(only))
+    return table.select(*schema.names)

@@ -11,7 +11,8 @@ is the one that is read. Keys are checked before a run is shown: NULL or repeate
 customers, and segments or recommendations without a prediction, refuse it.
 
 A table is kept in parts of whole buckets. An amendment writes the parts in which a
-row differs; its success row takes the others from where they are.
+row differs; its success row takes the others from where they are. Beside the predictions
+of a folder lies an index of the texts in its ids (``grams``), for searches.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from holdfast import schemas
 from holdfast.functions import labels as L
 from holdfast.operators import quality
 from holdfast.sources.buckets import KEY, buckets_for, part_of, read_parts, table_name, write_parts
+from holdfast.sources.files import exists
+from holdfast.sources.grams import parts_with, write_grams
 from holdfast.sources.log import Log
 
 TABLES = {
@@ -166,8 +169,25 @@ class ResultStore:
         """The store's bucket count, or one that fits the number of rows."""
         return self.buckets or buckets_for(rows.count())
 
-    def _read(self, table: str, layout: Layout, buckets: int) -> DataFrame:
-        return read_parts(self.spark, f"{self.root}/{table}", layout, TABLES[table], buckets)
+    def _read(self, table: str, layout: Layout, buckets: int, only: list[int] | None = None) -> DataFrame:
+        return read_parts(self.spark, f"{self.root}/{table}", layout, TABLES[table], buckets, only=only)
+
+    def _save(self, table: str, folder: str, rows: DataFrame, buckets: int) -> list[int]:
+        parts = write_parts(rows.select(*TABLES[table].names), f"{self.root}/{table}/{folder}", buckets)
+        if table == "predictions":
+            write_grams(self._read(table, {folder: parts}, buckets).select(KEY), self._grams(folder), buckets)
+        return parts
+
+    def _grams(self, folder: str) -> str:
+        return f"{self.root}/id_grams/{folder}"
+
+    def _search_parts(self, layout: Layout, text: str) -> list[int]:
+        """Parts that can hold ids found by a search."""
+        found = set()
+        for folder, parts in layout.items():
+            held = parts_with(self.spark, self._grams(folder), text)
+            found |= set(parts) if held is None else held & set(parts)
+        return sorted(found)
 
     def write(self, table: str, folder: str, rows: DataFrame, buckets: int) -> DataFrame:
         """Write one result table to a run's folder and return it as written.
@@ -175,7 +195,7 @@ class ResultStore:
         Readers do not see it before ``commit``. Rows already bucketed alike are
         not shuffled again.
         """
-        parts = write_parts(rows.select(*TABLES[table].names), f"{self.root}/{table}/{folder}", buckets)
+        parts = self._save(table, folder, rows, buckets)
         self._written[table, folder] = parts
         return self._read(table, {folder: parts}, buckets)
 
@@ -241,7 +261,7 @@ class ResultStore:
             touched = differing_parts(self._read(table, layout, buckets), rows, buckets)
             if touched:
                 rows = rows.where(part_of(buckets).isin(touched))
-                written = write_parts(rows, f"{self.root}/{table}/{folder}", buckets)
+                written = self._save(table, folder, rows, buckets)
                 layout = {f: [p for p in parts if p not in touched] for f, parts in layout.items()}
                 layout = {f: parts for f, parts in {**layout, folder: written}.items() if parts}
             layouts[table] = layout
@@ -280,14 +300,22 @@ class ResultStore:
                 self.spark.sql(f"DROP TABLE IF EXISTS {table_name(path)}")
                 target = jvm.org.apache.hadoop.fs.Path(path)
                 found |= target.getFileSystem(conf).delete(target, True)
+            if exists(self.spark, self._grams(folder)):
+                target = jvm.org.apache.hadoop.fs.Path(self._grams(folder))
+                target.getFileSystem(conf).delete(target, True)
             if found:
                 gone.append(folder)
         return gone
 
-    def published(self) -> dict[str, DataFrame]:
-        """The result tables of the latest success; empty tables before the first one."""
+    def published(self, search: str | None = None) -> dict[str, DataFrame]:
+        """The result tables of the latest success; empty tables before the first one.
+
+        With the text of a ``search``, only the parts that can hold what it finds; the rows are still to be
+        filtered by ``CustomerFilter(search=...)``.
+        """
         row = self._latest()
         if row is None:
             return {name: self.spark.createDataFrame([], schema) for name, schema in TABLES.items()}
         layouts = json.loads(row["layout"])
-        return {name: self._read(name, layouts[name], row["buckets"]) for name in TABLES}
+        only = self._search_parts(layouts["predictions"], search) if search else None
+        return {name: self._read(name, layouts[name], row["buckets"], only) for name in TABLES}
