@@ -2,10 +2,11 @@
 
 Prefix-target expansion: every assistant turn is an example of its own, with all turns before it as
 context and only that reply trainable. The contexts of a conversation are prefixes of one text, so a
-conversation is formatted once. ``expanded`` explodes its assistant turns: a row each, with the reply
-that is trainable and the place in the text where it starts, which is where its context ends. The
-output thus grows with the input, not with its square; ``render`` writes contexts out in full where a
-trainer wants them so.
+conversation is formatted once. ``expanded`` explodes its assistant turns into examples: a row each, with
+its whole text, all turns before it as context and its own turn last, and the loss mask in that text.
+Results are read back from these rows. The texts grow with the square of a conversation's turns, as the
+method has it; they are made row by row where the conversation lies, and are neither moved nor kept
+together. ``examples`` has the places alone, ``render`` contexts and replies as they stand.
 
 A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``. In roles and texts ``&`` becomes ``&amp;`` and ``<|``
 becomes ``&lt;|`` (in roles a line feed becomes ``&nl;``), so no control string can occur in them, and
@@ -99,7 +100,7 @@ def render(formatted: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """``turns`` (``role``, ``text``) and ``replies`` (as examples, with the ``reply``) from the formatted text."""
+    """``turns`` (``role``, ``text``) from the formatted text; the other columns stay."""
     pieces = F.split("formatted", END.replace("|", "\\|") + "\n")
     split = formatted.withColumn("pieces", F.slice(pieces, 1, F.size(pieces) - 1))
 
@@ -109,42 +110,59 @@ def read_back(formatted: DataFrame) -> DataFrame:
         text = rest.substr(F.char_length(role) + 2, F.char_length(rest))
         return F.struct(unescape_role(role).alias("role"), unescape(text).alias("text"))
 
-    def reply(example: Column) -> Column:
-        piece = F.get(F.col("pieces"), example["turn_no"])
-        text = unescape(piece.substr(example["head_chars"] + 1, example["reply_chars"]))
-        return F.struct(example["turn_no"].alias("turn_no"), example["reply_start"].alias("reply_start"), text.alias("reply"))
+    return split.select("conv_id", "formatted", F.transform("pieces", turn).alias("turns"), "examples")
 
-    return split.select(
-        "conv_id",
-        "formatted",
-        F.transform("pieces", turn).alias("turns"),
-        F.transform("examples", reply).alias("replies"),
-    )
+
+CONVERSATION = ("conv_id", "n_turns", "turns_sha256", "formatted_chars")
 
 
 def expanded(formatted: DataFrame) -> DataFrame:
-    """A row per example: ``conv_id``, ``turn_no`` (turns of its context), ``reply_start`` and ``reply``, read back
-    from the formatted text; a conversation without an assistant turn has one row without example.
+    """A row per example: ``conv_id``, ``turn_no``, its whole ``text`` (all turns before it, then its own), the part
+    of it under the loss mask, ``reply_start`` and ``reply_chars``, and what is read back from the text (``learnt``);
+    a conversation without an assistant turn has one row without example.
 
     ``n_turns``, ``turns_sha256`` and ``formatted_chars`` are those of the conversation.
     """
-    read = read_back(formatted)
     parts = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    rows = read.select(
+    rows = read_back(formatted).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(parts, "").cast("binary"), 256).alias("turns_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
-        F.explode_outer("replies").alias("example"),
+        "formatted",
+        F.explode_outer("examples").alias("example"),
+    )
+    chars = F.col("example.reply_start") + F.col("example.reply_chars") + len(END + "\n")
+    return learnt(
+        rows.select(
+            *CONVERSATION,
+            "example.turn_no",
+            F.col("formatted").substr(F.lit(1), chars.cast("int")).alias("text"),
+            "example.reply_start",
+            "example.reply_chars",
+        )
+    )
+
+
+def learnt(examples: DataFrame) -> DataFrame:
+    """Examples with what is read back from their texts: ``context_turns`` and the ``reply`` under the loss mask."""
+    text, start = F.col("text"), F.col("reply_start").cast("int")
+    context = text.substr(F.lit(1), start)
+    # No escaped text holds a control string. The head of the reply's own turn is not context.
+    marks = F.char_length(context) - F.char_length(F.replace(context, F.lit(START), F.lit("")))
+    return examples.withColumns(
+        {
+            "context_turns": (marks / len(START)).cast("long") - 1,
+            "reply": unescape(text.substr(start + 1, F.col("reply_chars").cast("int"))),
+        }
     )
-    return rows.select("conv_id", "n_turns", "turns_sha256", "formatted_chars", "example.*")
 
 
 def digest(examples: DataFrame) -> DataFrame:
     """A row per conversation, its loss text put together from its examples."""
-    reply = F.when(F.col("turn_no").isNotNull(), F.struct("turn_no", "reply"))
+    reply = F.when(F.col("context_turns").isNotNull(), F.struct("context_turns", "reply"))
     # Examples lie where their conversation was put together, so they are not moved.
-    found = examples.groupBy("conv_id", "n_turns", "turns_sha256", "formatted_chars").agg(
+    found = examples.groupBy(*CONVERSATION).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(reply)), lambda r: r["reply"]), "").alias("loss_text")
     )
     return found.select(
