@@ -30,8 +30,10 @@ MODEL_NAME = "Churn prediction model"
 REGISTERED_NAME = "churn_prediction_model"
 
 
-# Rows that one task of a fit holds in memory.
-ROWS_PER_PARTITION = 500_000
+# Rows that one task of a fit reads and holds in memory. Every round is several short jobs, whose cost grows with
+# the square of the partitions: beyond ``PARTITIONS`` they get larger, up to ten times so many rows.
+ROWS_PER_PARTITION = 50_000
+PARTITIONS = 128
 
 
 def feature_stages() -> list:
@@ -51,7 +53,9 @@ def in_canonical_layout(rows: DataFrame, rows_per_partition: int = ROWS_PER_PART
 
     Rows with the same values may change places, which changes nothing.
     """
-    partitions = max(1, -(-rows.count() // rows_per_partition))
+    count = rows.count()
+    size = max(rows_per_partition, min(10 * rows_per_partition, -(-count // PARTITIONS)))
+    partitions = max(1, -(-count // size))
     placed = rows.repartition(1) if partitions == 1 else rows.repartition(partitions, F.xxhash64(*rows.columns))
     return placed.sortWithinPartitions(*rows.columns)
 

@@ -131,3 +131,14 @@ def test_versions_of_writers_at_once(spark, logical):
         made = list(pool.map(lambda k: model.ModelStore(spark, root).register(fitted), range(3)))
     assert sorted(m.version for m in made) == [1, 2, 3] and len({m.path for m in made}) == 3
     assert model.ModelStore(spark, root).latest().version == 3
+
+
+def test_tasks_of_a_fit_stay_small(spark):
+    rows = spark.range(230_000).select((F.col("id") % 9_973).alias("x"), F.col("id").cast("double").alias("y"))
+    placed = model.in_canonical_layout(rows)
+    sizes = [r["n"] for r in placed.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 5 and sum(sizes) == 230_000 and max(sizes) < 60_000
+    assert placed.exceptAll(rows).isEmpty() and rows.exceptAll(placed).isEmpty()
+    # Very many rows: more rows a task rather than ever more tasks, up to ten times as many.
+    assert model.in_canonical_layout(rows, 1_000).rdd.getNumPartitions() == 128
+    assert model.in_canonical_layout(rows, 100).rdd.getNumPartitions() == 230
