@@ -142,3 +142,16 @@ def test_tasks_of_a_fit_stay_small(spark):
     # Very many rows: more rows a task rather than ever more tasks, up to ten times as many.
     assert model.in_canonical_layout(rows, 1_000).rdd.getNumPartitions() == 128
     assert model.in_canonical_layout(rows, 100).rdd.getNumPartitions() == 230
+
+
+def test_trees_do_not_depend_on_the_layout_with_several_tasks(spark, logical):
+    rows = prepare_features(logical.customers.where("dataset_split = 'train'"))
+    many = rows.crossJoin(spark.range(800).select("id").withColumnRenamed("id", "copy"))
+    many = many.withColumn("account_length", (F.col("account_length") + F.col("copy")).cast("int")).drop("copy")
+    assert many.count() > model.ROWS_PER_PARTITION
+    probabilities = []
+    for partitions in (2, 5):
+        fitted = model.train(many.repartition(partitions, "state"), rounds=3)
+        scored = model.score_customers(rows, fitted).select("customer_id", "churn_probability")
+        probabilities.append({r[0]: r[1] for r in scored.collect()})
+    assert probabilities[0] == pytest.approx(probabilities[1])
