@@ -78,7 +78,12 @@ def train(training: DataFrame, rounds: int = 100, seed: int = 42) -> PipelineMod
     labelled = training.select(
         *CATEGORICAL_FEATURES, *NUMERIC_FEATURES, F.col("churn").cast("double").alias("label")
     )
-    return Pipeline(stages=[*feature_stages(), booster]).fit(in_canonical_layout(labelled))
+    placed = in_canonical_layout(labelled)
+    features = Pipeline(stages=feature_stages()).fit(placed)
+    # Kept in files, partition by partition: features are made once, and the tasks of the several short jobs of a
+    # round need not carry the steps that made them.
+    assembled = features.transform(placed).select("features", "label").checkpoint()
+    return PipelineModel([*features.stages, booster.fit(assembled)])
 
 
 def score_customers(df: DataFrame, model: PipelineModel) -> DataFrame:

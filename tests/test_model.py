@@ -155,3 +155,21 @@ def test_trees_do_not_depend_on_the_layout_with_several_tasks(spark, logical):
         scored = model.score_customers(rows, fitted).select("customer_id", "churn_probability")
         probabilities.append({r[0]: r[1] for r in scored.collect()})
     assert probabilities[0] == pytest.approx(probabilities[1])
+
+
+def test_rounds_do_not_repeat_the_steps_before_them(spark, logical, monkeypatch):
+    rows = prepare_features(logical.customers.where("dataset_split = 'train'"))
+    given, fit = [], model.GBTClassifier.fit
+    monkeypatch.setattr(model.GBTClassifier, "fit", lambda self, df: given.append(df) or fit(self, df))
+    fitted = model.train(rows, rounds=3)
+    plan = given[0]._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" in plan and not any(step in plan for step in ("Exchange", "Sort", "UDF", "FileScan"))
+    # Features keep what is known of them (flags have two values), so the trees are those of a fit without files.
+    labelled = rows.select(
+        *model.CATEGORICAL_FEATURES, *model.NUMERIC_FEATURES, F.col("churn").cast("double").alias("label")
+    )
+    booster = model.GBTClassifier(featuresCol="features", labelCol="label", maxIter=3, maxDepth=3, stepSize=0.1, maxBins=64, seed=42)
+    whole = model.Pipeline(stages=[*model.feature_stages(), booster]).fit(model.in_canonical_layout(labelled))
+    trees = [m.stages[-1].toDebugString.split("\n", 1)[1] for m in (fitted, whole)]
+    assert trees[0] == trees[1] and " in {" in trees[0]
+    assert [type(s) for s in fitted.stages] == [type(s) for s in whole.stages]
